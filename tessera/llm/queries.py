@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bwtmerge import remove_repeats
 from .superminhash import near_duplicates
 
 
@@ -18,7 +20,15 @@ def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), q=4).drop("k1", "k2")
 
 
+def op7_bwtmerge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without their repeated strings of 200 bytes."""
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_superminhash": op3_superminhash,
+    "op7_bwtmerge": op7_bwtmerge,
 }
 SQL: dict[str, str] = {}
