@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licences, ordinal
 from .bwtmerge import remove_repeats
+from .licence_texts import NOTICES, TEXTS
+from .multisethash import edited_copies
+from .pareto import mix_sources
+from .shared import WORD
 from .superminhash import near_duplicates
+from .tiling import contaminations
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +33,109 @@ def op7_bwtmerge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_multisethash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited copies."""
+    return edited_copies(table(spark, sf_dir, "documents"))
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digest, licence and licence notices of every document."""
+    out = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "canonical_sha256", "canonical_chars", "licence", F.concat_ws(",", "notices").alias("notices"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document; the model is fitted on at most ordinal.BOUND labelled rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.severity_model(docs, table(spark, sf_dir, "labels"))
+    return ordinal.toxicity(docs, model).select("doc_id", "expected_severity", "p_toxic", "p_severe", F.col("rejected").alias("toxic"))
+
+
+def op8_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents at 150 % of their words, sources weighing 3, 1, 2, repeating."""
+    return mix_sources(table(spark, sf_dir, "documents"), carry=["doc_id"]).drop("copies")
+
+
+def op9_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that cover 80 % or more of a benchmark item, with each item they cover."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hit = contaminations(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("found").alias("f"))
+    return hit.select("doc_id", "f.item_id", "f.n_words", "f.n_tiled", "f.coverage", F.size("f.tiles").cast("long").alias("n_tiles"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of every document; fitted on at most ordinal.BOUND labelled rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.quality_model(docs, table(spark, sf_dir, "labels"))
+    return ordinal.quality(docs, model).select("doc_id", "expected_grade", "p_tail", F.col("selected").alias("keep"))
+
+
+def _canonical_lines(text: str) -> str:
+    out = f"translate(coalesce({text}, ''), '{licences.UPPER}', '{licences.LOWER}')"
+    out = f"regexp_replace({out}, '{licences.COPYRIGHT_LINE}', chr(10), 'g')"
+    out = f"regexp_replace({out}, '{licences.MARKS}', ' ', 'g')"
+    for a, b in licences.SPELLINGS:
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+def _values(rows: dict[str, str]) -> str:
+    return ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in r)) for r in rows.items())
+
+
+def _canonical(lines: str) -> str:
+    return f"trim(regexp_replace({lines}, '[ \\n]+', ' ', 'g'))"
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, {_canonical_lines("text")} AS lines FROM documents),
+w AS (SELECT doc_id, lines, {_canonical("lines")} AS whole FROM d),
+known AS (SELECT licence, sha256({_canonical(_canonical_lines("text"))}) AS digest FROM (VALUES {_values(TEXTS)}) AS t(licence, text)),
+notice AS (SELECT sha256({_canonical(_canonical_lines("text"))}) AS digest, licence FROM (VALUES {_values(NOTICES)}) AS t(text, licence)),
+line AS (SELECT doc_id, lines, i, sha256(trim(string_split(lines, chr(10))[i])) AS digest
+         FROM (SELECT DISTINCT doc_id, lines FROM d) AS x, unnest(generate_series(1, len(string_split(lines, chr(10))))) AS s(i)),
+said AS (SELECT doc_id, lines, licence, min(i) AS i FROM line JOIN notice USING (digest) GROUP BY ALL),
+named AS (SELECT doc_id, lines, string_agg(licence, ',' ORDER BY i) AS notices FROM said GROUP BY ALL)
+SELECT w.doc_id, sha256(whole) AS canonical_sha256, CAST(length(whole) AS BIGINT) AS canonical_chars, licence, coalesce(notices, '') AS notices
+FROM w LEFT JOIN known ON sha256(whole) = known.digest LEFT JOIN named ON named.doc_id IS NOT DISTINCT FROM w.doc_id AND named.lines = w.lines
+"""
+
+OP8_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
+         (CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), 'null'), coalesce(source, 'null'), md5(coalesce(text, ''))) || '#8'), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM s),
+l AS (SELECT *, row_number() OVER o AS nth,
+        (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+      FROM w WINDOW o AS (ORDER BY source_size / w, source NULLS LAST)),
+f AS (SELECT arg_min(level, nth) AS level FROM l WHERE level * w <= 2.0 * source_size),
+t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce((SELECT level FROM f) * w, 2.0::DOUBLE * source_size)) AS target FROM l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+r AS (SELECT *, target - whole * source_size AS rest FROM p),
+c AS (SELECT d.doc_id, d.source, d.size, d.u, r.source_size, r.target, r.whole, r.rest,
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u ROWS UNBOUNDED PRECEDING) AS upto,
+        row_number() OVER (PARTITION BY d.source ORDER BY d.u) AS nth
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+g AS (SELECT *, rest - coalesce(sum(size) FILTER (upto <= rest) OVER (PARTITION BY source), 0) AS gap FROM c),
+n AS (SELECT source, arg_min(nth, {{'a': abs(size - gap), 'b': u, 'c': nth}}) AS pick FROM g WHERE upto > rest AND size > 0 AND abs(size - gap) < gap GROUP BY source)
+SELECT doc_id, size, source_size, target, (whole + CASE WHEN (upto <= rest AND size > 0) OR coalesce(nth = pick, FALSE) THEN 1 ELSE 0 END) * size AS taken
+FROM g LEFT JOIN n ON g.source IS NOT DISTINCT FROM n.source
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_superminhash": op3_superminhash,
+    "op4_multisethash": op4_multisethash,
+    "op5_licences": op5_licences,
+    "op6_toxicity": op6_toxicity,
     "op7_bwtmerge": op7_bwtmerge,
+    "op8_pareto": op8_pareto,
+    "op9_tiling": op9_tiling,
+    "op10_quality": op10_quality,
+}
+SQL: dict[str, str] = {
+    "op5_licences": OP5_SQL,
+    "op8_pareto": OP8_SQL,
 }
-SQL: dict[str, str] = {}
