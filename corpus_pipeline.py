@@ -1,12 +1,76 @@
-"""A training-data pipeline over ``documents``: each stage is one operator of ``tessera.llm``."""
+"""A training-data pipeline over ``documents``: five stages, each one operator of ``tessera.llm``.
+
+Every stage takes all that its predecessor kept, as a table that was written and read again. All but the last return the
+columns of ``documents``; the last returns one row for each document with how often the mix takes it.
+
+Defined results for odd input are those of the operators: null texts count as empty, null ids never win a group, repeated
+rows are near-duplicates of each other (one of them stays), and empty tables pass through.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.llm import ordinal
+from tessera.llm.bwtmerge import remove_repeats
+from tessera.llm.pareto import mix_sources
+from tessera.llm.shared import WORD, row_key, stash
+from tessera.llm.superminhash import near_duplicates
+from tessera.llm.tiling import contaminations
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose predicted severity is not toxic."""
+    model = ordinal.severity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return ordinal.toxicity(docs, model).filter("not rejected").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest id (null last), and of repeated rows one.
+    Documents without words are linked with nothing and stay."""
+    found = near_duplicates(docs)
+    first = found.filter("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("row")).select("row.k1", "row.k2", F.lit(False).alias("__all"))
+    keys = first.union(found.filter("group is null").select("k1", "k2", F.lit(True)).distinct())
+    keyed = row_key(docs.withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.coalesce("text", F.lit(""))}), "__id", "__text")
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("lang", "source", "n_chars"))
+    return keyed.join(keys, ["k1", "k2"]).withColumn("__n", nth).filter("__all or __n = 1").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 200 bytes that repeat; a character that is cut in two goes with them. Documents that
+    lose all their words go."""
+    left = remove_repeats(docs)
+    cut = F.size("spans") > 0
+    out = left.withColumn("text", F.when(cut, F.col("left")).otherwise(F.col("text"))).withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.filter(~cut | F.col("text").rlike(WORD)).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover less than 80 % of every benchmark item."""
+    hit = contaminations(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return hit.filter(F.size("found") == 0).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources; how often each document is taken, and its words."""
+    return mix_sources(docs, carry=["doc_id", "lang", "source"])
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+]
+#: Model fits, near-duplicate groups and tilings have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return docs

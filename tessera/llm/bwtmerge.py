@@ -258,7 +258,7 @@ def repeated_strings(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", most_forms: int = MOST_FORMS) -> DataFrame:
     """The rows of ``docs`` with all their columns, and: n_bytes long, spans array<struct<start, end>> (maximal removed byte
-    runs), kept binary (the remaining bytes in order)."""
+    runs), kept binary (the remaining bytes in order), left string (the same without characters that were cut in two)."""
     found = repeated_strings(docs, length, id_col, text_col, most_forms)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     keyed = row_key(whole, "__id", "__text").withColumn("row", F.col("row").dropFields(text_col) if len(docs.columns) > 1 else F.struct(F.lit(0).alias("__none")))
@@ -278,9 +278,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 edge = [0, *(x for r in own for x in r), len(text)]
                 kept.append(b"".join(text[a:e] for a, e in zip(edge[::2], edge[1::2], strict=True)))
                 spans.append([{"start": a, "end": e} for a, e in own])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, span), pa.array(kept, pa.binary())], ["row", "text", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string())], ["row", "text", "spans", "kept", "left"])
 
     span_type = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
-    out = both.mapInArrow(apply, T.StructType([*both.drop("found").schema]).add("spans", span_type).add("kept", "binary"))
+    out = both.mapInArrow(apply, T.StructType([*both.drop("found").schema]).add("spans", span_type).add("kept", "binary").add("left", "string"))
     cols = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
-    return out.select(*cols, F.octet_length("text").cast("long").alias("n_bytes"), "spans", "kept")
+    return out.select(*cols, F.octet_length("text").cast("long").alias("n_bytes"), "spans", "kept", "left")

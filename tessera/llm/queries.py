@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from . import licences, ordinal
 from .bwtmerge import remove_repeats
+from .compactwindows import passages
 from .licence_texts import NOTICES, TEXTS
 from .multisethash import edited_copies
 from .pareto import mix_sources
 from .shared import WORD
+from .sitetree import extract
 from .superminhash import near_duplicates
 from .tiling import contaminations
 
@@ -21,9 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_compactwindows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of 50 words or more that repeat, nearly or exactly, in another document."""
+    found = passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("passage_sha256", F.sha2("passage", 256)).drop("passage")
+
+
+def op2_sitetree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: four-word shingles, similarity 0.8 or more."""
-    return near_duplicates(table(spark, sf_dir, "documents"), q=4).drop("k1", "k2")
+    return near_duplicates(table(spark, sf_dir, "documents"), q=4).drop("k1", "k2", "group")
 
 
 def op7_bwtmerge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +139,8 @@ FROM g LEFT JOIN n ON g.source IS NOT DISTINCT FROM n.source
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_compactwindows": op1_compactwindows,
+    "op2_sitetree": op2_sitetree,
     "op3_superminhash": op3_superminhash,
     "op4_multisethash": op4_multisethash,
     "op5_licences": op5_licences,
