@@ -64,3 +64,8 @@ def blend(parts: dict[str, float]) -> Column:
     up = sum((F.when(F.col(c).isNotNull(), w * F.col(c)).otherwise(0.0) for c, w in parts.items()), F.lit(0.0))
     down = sum((F.when(F.col(c).isNotNull(), F.lit(w)).otherwise(0.0) for c, w in parts.items()), F.lit(0.0))
     return F.try_divide(up, F.nullif(down, F.lit(0.0)))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation as an aggregate; null where a side does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
