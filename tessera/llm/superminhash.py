@@ -8,12 +8,12 @@ stop after the first step. Signatures are cut into bands; classes of equal sets
 Nothing here is quadratic in a group of copies:
 
 1. documents with equal sets are one class before any comparison;
-2. in each band bucket every class is compared with one pivot (a star, not all pairs), and links are confirmed on the full
-   sets; connected components follow;
-3. only buckets that still hold several components are looked at again. There each class outside the bucket's largest
-   component meets those of other components whose signatures agree enough (five standard deviations below what 0.8
-   gives); the best partner for each component is confirmed first, and after another round of components what still
-   connects two of them. No pair of a bucket is left out but by its signature.
+2. in each band bucket every class is compared with one pivot, the class that meets most others in all its buckets (a
+   star, not all pairs), and links are confirmed on the full sets; connected components follow;
+3. only buckets that still hold several components are looked at again, now exactly: in the order of how rare a shingle is
+   among their documents, two sets of similarity 0.8 share one of their rarest fifth (prefix filtering). Documents outside
+   a bucket's largest component meet documents of other components that share such a shingle. Heavily edited copies have
+   their own edits in front and so meet next to nobody, however large the group is.
 
 Defined results: a null text counts as empty; a document without words has an empty set, n_shingles 0 and is its own
 component; null ids never become a component id (a group of null ids has component_id null, kept false); repeated rows are
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -33,9 +33,6 @@ from .shared import row_blocks, row_key, stash, text_bytes
 
 BANDS, ROWS = 21, 3
 SLOTS = BANDS * ROWS
-SKETCH_WORDS = 4
-#: Of 252 sketch bits a pair at similarity 0.8 agrees in 227 on average, standard deviation 7.3.
-LEAST_BITS = 190
 BLOCK = 1 << 20
 
 
@@ -90,15 +87,9 @@ def _signed(b: pa.RecordBatch, q: int):
         for r in range(ROWS):
             band = mix(band * U(31) + bits[:, r::ROWS])
         band = mix(band + np.arange(1, BANDS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
-        sketch = np.zeros((j - i, SKETCH_WORDS), U)
-        for s in range(SLOTS):
-            y = mix(bits[:, s] + U(s))
-            for k in range(SKETCH_WORDS):
-                sketch[:, k] |= ((y >> U(k)) & U(1)) << U(s)
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band.ravel().view(np.int64)))
         cols = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(n), pa.array(mix(total(mix(h))).view(np.int64)), pa.array(total(mix(h ^ U(0xA5A5A5A5A5A5A5A5))).view(np.int64)), bands]
-        cols += [pa.array(sketch[:, k].view(np.int64)) for k in range(SKETCH_WORDS)]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k1", "k2", "n", "d1", "d2", "bands", "b0", "b1", "b2", "b3"])
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k1", "k2", "n", "d1", "d2", "bands"])
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
@@ -110,20 +101,24 @@ def _confirmed(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row: doc_id, k1, k2 (its row key), n_shingles, component_id (smallest id reachable over links of similarity
+    """Per row: doc_id, k1, k2 (its row key), group (a number for each component, null without words), n_shingles, component_id (smallest id reachable over links of similarity
     num/den or more), kept (doc_id = component_id)."""
     base = row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
     keyed = base.select("doc_id", "k1", "k2", "text")
-    schema = "doc_id long, k1 long, k2 long, n long, d1 long, d2 long, bands array<long>, b0 long, b1 long, b2 long, b3 long"
+    schema = "doc_id long, k1 long, k2 long, n long, d1 long, d2 long, bands array<long>"
     signed = stash(keyed.mapInArrow(lambda it: (x for b in it for x in _signed(b, q)), schema), "signatures")
 
     group = signed.filter("n > 0").groupBy("d1", "d2", "n")
     classes = group.agg(F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "k1", "k2")).alias("row")).select("d1", "d2", "n", "min_id", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2"), F.monotonically_increasing_id().alias("node"))
     classes = stash(classes, "classes")
-    sketches = signed.select("k1", "k2", "n", "b0", "b1", "b2", "b3", F.explode("bands").alias("band"))
+    sketches = signed.select("k1", "k2", "n", F.explode("bands").alias("band"))
     member = sketches.join(classes.select("node", "k1", "k2"), ["k1", "k2"]).drop("k1", "k2").distinct()
-    shared = member.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("band", "a")
-    member = stash(member.join(shared, "band"), "buckets")  # only buckets with two classes or more; a is the pivot
+    crowd = member.groupBy("band").agg(F.count("*").alias("crowd")).filter("crowd > 1")
+    member = stash(member.join(crowd, "band"), "bands")  # only buckets with two classes or more
+    # the pivot of a bucket is the class that meets most others over all its bands: of edited copies, the least edited
+    central = member.groupBy("node").agg(F.sum("crowd").alias("met"))
+    pivot = member.join(central, "node").groupBy("band").agg(F.max(F.struct("met", "node"))["node"].alias("a"))
+    member = stash(member.drop("crowd").join(pivot, "band"), "buckets")
 
     wanted = member.select("node").distinct().join(classes.select("node", "k1", "k2"), "node")
     rows = keyed.join(wanted, ["k1", "k2"]).select("node", "text")
@@ -137,32 +132,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     full = stash(rows.mapInArrow(fetch, "node long, items array<long>").groupBy("node").agg(F.first("items").alias("items")), "sets")
 
-    close = lambda x, y: (sum((F.bit_count(F.col(f"{x}b{k}").bitwiseXOR(F.col(f"{y}b{k}"))) for k in range(SKETCH_WORDS)), F.lit(0)) <= SKETCH_WORDS * 63 - LEAST_BITS) & (F.lit(den) * F.least(f"{x}n", f"{y}n") >= F.lit(num) * F.greatest(f"{x}n", f"{y}n"))
-    info = member.select("node", "n", "b0", "b1", "b2", "b3").distinct()
-    side = lambda t, c, p: t.select(F.col("node").alias(c), *(F.col(x).alias(f"{p}{x}") for x in ("n", "b0", "b1", "b2", "b3")))
     star = member.select("a", F.col("node").alias("b")).filter("a <> b").distinct()
-    star = star.join(side(info, "a", "x_"), "a").join(side(info, "b", "y_"), "b").filter(close("x_", "y_")).select("a", "b")
     links = stash(_confirmed(star, full, num, den), "links")
 
-    for last in (False, True):
-        label = components(links, "a", "b")
-        placed = member.drop("a").join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        counts = placed.groupBy("band", "c").count()
-        main = counts.groupBy("band").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("band", "main")
-        mixed = placed.join(main, "band")
-        few = side(mixed.filter("c <> main").withColumn("node", F.struct("node", "c", "band")), "x", "x_")
-        rest = side(mixed.withColumn("node", F.struct("node", "c", "band", "main")), "y", "y_")
-        cross = few.join(rest, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & close("x_", "y_"))
-        agree = sum((F.bit_count(F.col(f"x_b{k}").bitwiseXOR(F.col(f"y_b{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
-        pairs = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("y.c").alias("c"), agree.alias("off")).distinct()
-        if not last:
-            pairs = pairs.groupBy("a", "c").agg(F.min_by("b", F.struct("off", "b")).alias("b"))
-        links = stash(links.union(_confirmed(pairs.select("a", "b"), full, num, den)), "links")
+    label = components(links, "a", "b")
+    placed = stash(member.select("node", "n", "band").join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "placed")
+    main = placed.groupBy("band", "c").count().groupBy("band").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("band", "main")
+    mixed = placed.join(main, "band").groupBy("node", "n", "c").agg(F.max(F.col("c") != F.col("main")).alias("few"))
+    item = stash(full.join(mixed, "node").select("node", "n", "c", "few", F.explode("items").alias("item")), "items")
+    many = item.groupBy("item").agg(F.count("*").alias("many"))
+    rarest = Window.partitionBy("node").orderBy("many", "item")
+    front = item.join(many.filter("many > 1"), "item").withColumn("nth", F.row_number().over(rarest))
+    # shingles that occur once meet nobody, but they take places among the rarest
+    once = item.join(many.filter("many = 1"), "item").groupBy("node").agg(F.count("*").alias("once"))
+    length = F.col("n") - F.floor((F.lit(num) * F.col("n") + F.lit(den - 1)) / F.lit(den)) + 1
+    front = stash(front.join(once, "node", "left").filter(F.col("nth") + F.coalesce("once", F.lit(0)) <= length).select("node", "n", "c", "few", "item"), "front")
+    x, y = front.filter("few").alias("x"), front.alias("y")
+    met = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.c") != F.col("y.c")) & (~F.col("y.few") | (F.col("x.node") < F.col("y.node"))) & (F.lit(den) * F.least("x.n", "y.n") >= F.lit(num) * F.greatest("x.n", "y.n")))
+    pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    links = stash(links.union(_confirmed(pairs, full, num, den)), "links")
 
     label = components(links, "a", "b")
     grouped = classes.join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = grouped.groupBy("c").agg(F.min("min_id").alias("component_id"))
-    of_class = grouped.join(least, "c").select("d1", "d2", "n", "component_id")
+    of_class = grouped.join(least, "c").select("d1", "d2", "n", "c", "component_id")
     out = signed.select("doc_id", "k1", "k2", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left")
     out = out.withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "k1", "k2", F.col("c").alias("group"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
