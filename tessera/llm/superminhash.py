@@ -12,8 +12,9 @@ Nothing here is quadratic in a group of copies:
    star, not all pairs), and links are confirmed on the full sets; connected components follow;
 3. only buckets that still hold several components are looked at again, now exactly: in the order of how rare a shingle is
    among their documents, two sets of similarity 0.8 share one of their rarest fifth (prefix filtering). Documents outside
-   a bucket's largest component meet documents of other components that share such a shingle. Heavily edited copies have
-   their own edits in front and so meet next to nobody, however large the group is.
+   a bucket's largest component meet documents of other components that share such a shingle, if both have enough
+   shingles left behind it (the positional filter). Heavily edited copies have their own edits in front and so meet next
+   to nobody, however large the group is.
 
 Defined results: a null text counts as empty; a document without words has an empty set, n_shingles 0 and is its own
 component; null ids never become a component id (a group of null ids has component_id null, kept false); repeated rows are
@@ -146,9 +147,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # shingles that occur once meet nobody, but they take places among the rarest
     once = item.join(many.filter("many = 1"), "item").groupBy("node").agg(F.count("*").alias("once"))
     length = F.col("n") - F.floor((F.lit(num) * F.col("n") + F.lit(den - 1)) / F.lit(den)) + 1
-    front = stash(front.join(once, "node", "left").filter(F.col("nth") + F.coalesce("once", F.lit(0)) <= length).select("node", "n", "c", "few", "item"), "front")
+    front = front.join(once, "node", "left").withColumn("left", F.col("n") - F.col("nth") - F.coalesce("once", F.lit(0)) + 1)
+    front = stash(front.filter(F.col("left") > F.col("n") - length).select("node", "n", "c", "few", "item", "left"), "front")
+    # from their first common shingle on, both sets must have enough shingles left for the overlap that the similarity asks
+    enough = F.lit(num + den) * F.least("x.left", "y.left") >= F.lit(num) * (F.col("x.n") + F.col("y.n"))
     x, y = front.filter("few").alias("x"), front.alias("y")
-    met = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.c") != F.col("y.c")) & (~F.col("y.few") | (F.col("x.node") < F.col("y.node"))) & (F.lit(den) * F.least("x.n", "y.n") >= F.lit(num) * F.greatest("x.n", "y.n")))
+    met = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.c") != F.col("y.c")) & (~F.col("y.few") | (F.col("x.node") < F.col("y.node"))) & enough)
     pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     links = stash(links.union(_confirmed(pairs, full, num, den)), "links")
 
