@@ -14,15 +14,15 @@ def _col(x: Column | str) -> Column:
 
 def winsor(x: Column | str, low: float = 0.01, high: float = 0.99) -> Column:
     x = _col(x)
-    a, b = F.percentile(x, low).over(wd), F.percentile(x, high).over(wd)
+    a, b = F.percentile(x, low).over(wd()), F.percentile(x, high).over(wd())
     return F.when(x.isNull(), None).otherwise(F.greatest(F.least(x, b), a))
 
 
 def zscore(x: Column | str, population: bool = False, zero: bool = False) -> Column:
     """(x - mean) / std of the date; a std of zero gives null, or 0 if ``zero``."""
     x = _col(x)
-    s = (F.stddev_pop if population else F.stddev_samp)(x).over(wd)
-    z = F.try_divide(x - F.avg(x).over(wd), F.nullif(s, F.lit(0.0)))
+    s = (F.stddev_pop if population else F.stddev_samp)(x).over(wd())
+    z = F.try_divide(x - F.avg(x).over(wd()), F.nullif(s, F.lit(0.0)))
     return F.coalesce(z, F.lit(0.0)) if zero else z
 
 
@@ -38,25 +38,25 @@ def rank_pct(x: str, by: tuple[str, ...] = ("date",)) -> Column:
 
 
 def first_rank(x: str, tie: str = "code") -> Column:
-    return F.row_number().over(wd.orderBy(F.col(x).asc_nulls_last(), tie))
+    return F.row_number().over(wd().orderBy(F.col(x).asc_nulls_last(), tie))
 
 
 def quantile_bucket(x: str, q: int, tie: str = "code") -> Column:
     """Bucket 0..q-1 by quantiles of the first-come ranks: ceil((rank - 1) * q / (n - 1)) - 1, at least 0."""
-    n = F.count(x).over(wd)
+    n = F.count(x).over(wd())
     b = F.ceil((first_rank(x, tie) - 1) * q / (n - 1)) - 1
     return F.when(F.col(x).isNotNull() & (n > 1), F.greatest(b, F.lit(0)).cast("int"))
 
 
 def relevance(x: str, bins: int, tie: str = "code") -> Column:
     """Rank-relevance label: floor of the first-come rank share times bins, at most bins - 1; null in groups under two."""
-    n = F.count(x).over(wd)
+    n = F.count(x).over(wd())
     return F.when((n >= 2) & F.col(x).isNotNull(), F.least(F.floor(first_rank(x, tie) / n * bins), F.lit(bins - 1)).cast("int"))
 
 
 def size_neutral(x: str, size: str) -> Column:
     """Residual of the regression on one column, with a constant, per date."""
-    return F.col(x) - F.regr_slope(F.col(x), F.col(size)).over(wd) * F.col(size) - F.regr_intercept(F.col(x), F.col(size)).over(wd)
+    return F.col(x) - F.regr_slope(F.col(x), F.col(size)).over(wd()) * F.col(size) - F.regr_intercept(F.col(x), F.col(size)).over(wd())
 
 
 def blend(parts: dict[str, float]) -> Column:

@@ -15,25 +15,25 @@ from tessera.functions.rolling import gap, mean_absolute_deviation, position_in_
 def window_indicators(bars: DataFrame) -> DataFrame:
     """MA, BIAS, Williams %R, ROC, CCI, SMA-ATR and volume columns beside code and date."""
     c, h, low, v = F.col("close"), F.col("high"), F.col("low"), F.col("volume")
-    base = bars.withColumns({"tp": (h + low + c) / 3, "tr": true_range(), "step": F.signum(c - F.lag("close").over(wc))})
+    base = bars.withColumns({"tp": (h + low + c) / 3, "tr": true_range(), "step": F.signum(c - F.lag("close").over(wc()))})
     return base.select(
         "code",
         "date",
         *(roll(F.avg, "close", n).alias(f"ma{n}") for n in (5, 10, 20, 60)),
         *((100 * gap("close", n)).alias(f"bias{n}") for n in (6, 12, 24)),
         (-100 * (1 - position_in_range("close", "high", "low", 14))).alias("williams"),
-        (100 * (F.try_divide(c, F.lag("close", 12).over(wc)) - 1)).alias("roc12"),
+        (100 * (F.try_divide(c, F.lag("close", 12).over(wc())) - 1)).alias("roc12"),
         F.try_divide(F.col("tp") - roll(F.avg, "tp", 14), 0.015 * mean_absolute_deviation(F.col("tp"), 14)).alias("cci14"),
         roll(F.avg, "tr", 14).alias("atr14"),
         F.try_divide(v, roll(F.avg, "volume", 5)).alias("volume_ratio"),
-        F.sum(F.coalesce(F.col("step"), F.lit(0.0)) * v).over(wc.rowsBetween(Window.unboundedPreceding, 0)).alias("obv"),
+        F.sum(F.coalesce(F.col("step"), F.lit(0.0)) * v).over(wc().rowsBetween(Window.unboundedPreceding, 0)).alias("obv"),
     )
 
 
 def ewm_indicators(bars: DataFrame) -> DataFrame:
     """MACD (histogram twice the difference), RSI 6/12/24, KDJ and Wilder's ATR beside code and date."""
-    diff = F.col("close") - F.lag("close").over(wc)
-    rsv = 100 * F.try_divide(F.col("close") - F.min("low").over(wc.rowsBetween(-8, 0)), F.nullif(F.max("high").over(wc.rowsBetween(-8, 0)) - F.min("low").over(wc.rowsBetween(-8, 0)), F.lit(0.0)))
+    diff = F.col("close") - F.lag("close").over(wc())
+    rsv = 100 * F.try_divide(F.col("close") - F.min("low").over(wc().rowsBetween(-8, 0)), F.nullif(F.max("high").over(wc().rowsBetween(-8, 0)) - F.min("low").over(wc().rowsBetween(-8, 0)), F.lit(0.0)))
     x = bars.select("code", "date", "close", F.when(diff.isNotNull(), F.greatest(diff, F.lit(0.0))).alias("up"), F.when(diff.isNotNull(), F.greatest(-diff, F.lit(0.0))).alias("down"), F.coalesce(rsv, F.lit(50.0)).alias("rsv"), F.coalesce(true_range(), F.col("high") - F.col("low")).alias("tr"))
     spec = {"fast": ("close", 2 / 13, 0), "slow": ("close", 2 / 27, 0), "k": ("rsv", 1 / 3, 0), "atr": ("tr", 1 / 14, 0)}
     for n in (6, 12, 24):

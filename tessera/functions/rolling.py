@@ -9,13 +9,22 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-wc = Window.partitionBy("code").orderBy("date")
-wd = Window.partitionBy("date")
+
+
+def wc() -> WindowSpec:
+    """The rows of an entity in date order."""
+    return Window.partitionBy("code").orderBy("date")
+
+
+def wd() -> WindowSpec:
+    """The rows of a date."""
+    return Window.partitionBy("date")
 
 
 def rows(n: int):
-    return wc.rowsBetween(-(n - 1), 0)
+    return wc().rowsBetween(-(n - 1), 0)
 
 
 def roll(f: Callable[[Column], Column], x: Column | str, n: int, least: int | None = None) -> Column:
@@ -26,12 +35,12 @@ def roll(f: Callable[[Column], Column], x: Column | str, n: int, least: int | No
 
 def change(x: str, n: int) -> Column:
     """Relative change against n rows before; null where that is null or zero."""
-    return F.try_divide(F.col(x), F.lag(x, n).over(wc)) - 1
+    return F.try_divide(F.col(x), F.lag(x, n).over(wc())) - 1
 
 
 def forward(x: str, n: int, base: Column | None = None) -> Column:
     """Return from ``base`` (default: this row) to the value n rows later."""
-    return F.try_divide(F.lead(x, n).over(wc), F.col(x) if base is None else base) - 1
+    return F.try_divide(F.lead(x, n).over(wc()), F.col(x) if base is None else base) - 1
 
 
 def gap(x: str, n: int) -> Column:
@@ -45,7 +54,7 @@ def position_in_range(close: str, high: str, low: str, n: int) -> Column:
 
 
 def true_range(high: str = "high", low: str = "low", close: str = "close") -> Column:
-    before = F.lag(close).over(wc)
+    before = F.lag(close).over(wc())
     return F.greatest(F.col(high) - F.col(low), F.abs(F.col(high) - before), F.abs(F.col(low) - before))
 
 

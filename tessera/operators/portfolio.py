@@ -18,7 +18,7 @@ def quantile_filters(pred: DataFrame, rules: Sequence[tuple[str, float, bool]],
     out = pred.withColumn("__alive", alive)
     for column, q, upper in rules:
         x = F.when(F.col("__alive"), F.col(column))
-        cut, n = F.percentile(x, q).over(wd), F.count(x).over(wd)
+        cut, n = F.percentile(x, q).over(wd()), F.count(x).over(wd())
         ok = (F.col(column) >= cut) if upper else (F.col(column) <= cut)
         out = out.withColumn("__alive", F.col("__alive") & ((n < least) | ok))
     return out.filter("__alive").drop("__alive")
@@ -26,9 +26,9 @@ def quantile_filters(pred: DataFrame, rules: Sequence[tuple[str, float, bool]],
 
 def top_weights(pred: DataFrame, score: str, top_n: int, max_weight: float) -> DataFrame:
     """(date, code, weight): the top n by score, equally weighted up to a cap; ties by code."""
-    nth = F.row_number().over(wd.orderBy(F.desc(score), "code"))
+    nth = F.row_number().over(wd().orderBy(F.desc(score), "code"))
     picked = pred.withColumn("__n", nth).filter(F.col("__n") <= top_n)
-    return picked.withColumn("weight", F.least(1.0 / F.count("*").over(wd), F.lit(max_weight))).drop("__n")
+    return picked.withColumn("weight", F.least(1.0 / F.count("*").over(wd()), F.lit(max_weight))).drop("__n")
 
 
 def turnover(weights: DataFrame) -> DataFrame:

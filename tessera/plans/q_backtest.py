@@ -121,7 +121,7 @@ def regime_weights(t: Tables) -> DataFrame:
 @query("b29_signal_backtest", f"WITH s AS (SELECT code, date, sign(close - avg(close) OVER ({W} ROWS 4 PRECEDING)) + sign(close - avg(close) OVER ({W} ROWS 19 PRECEDING)) + sign(close / lag(close, 3) OVER ({W}) - 1) AS score, {', '.join(f'lead(close, {h}) OVER ({W}) / close - 1 AS r{h}' for h in (1, 3, 5))} FROM bars) SELECT CAST(score AS INTEGER) AS score, count(*) AS n, {', '.join(f'avg((r{h} > 0)::DOUBLE) AS win_{h}' for h in (1, 3, 5))} FROM s WHERE abs(score) >= 3 GROUP BY ALL")
 def signal_backtest(t: Tables) -> DataFrame:
     c = F.col("close")
-    score = F.signum(c - F.avg("close").over(wc.rowsBetween(-4, 0))) + F.signum(c - F.avg("close").over(wc.rowsBetween(-19, 0))) + F.signum(change("close", 3))
+    score = F.signum(c - F.avg("close").over(wc().rowsBetween(-4, 0))) + F.signum(c - F.avg("close").over(wc().rowsBetween(-19, 0))) + F.signum(change("close", 3))
     s = t.bars.select(score.cast("int").alias("score"), *(forward("close", h).alias(f"r{h}") for h in (1, 3, 5))).filter("abs(score) >= 3")
     return s.groupBy("score").agg(F.count("*").alias("n"), *(F.avg((F.col(f"r{h}") > 0).cast("double")).alias(f"win_{h}") for h in (1, 3, 5)))
 

@@ -42,7 +42,7 @@ def invalid_bars(t: Tables) -> DataFrame:
 
 @query("p06_standard_bars", "SELECT code, date, coalesce(CASE WHEN volume > 40 THEN amount END, 0) AS amount, close / lag(close) OVER (PARTITION BY code ORDER BY date) - 1 AS pct_change FROM bars")
 def standard_bars(t: Tables) -> DataFrame:
-    return t.bars.select("code", "date", F.coalesce(F.when(F.col("volume") > 40, F.col("amount")), F.lit(0.0)).alias("amount"), (F.col("close") / F.lag("close").over(wc) - 1).alias("pct_change"))
+    return t.bars.select("code", "date", F.coalesce(F.when(F.col("volume") > 40, F.col("amount")), F.lit(0.0)).alias("amount"), (F.col("close") / F.lag("close").over(wc()) - 1).alias("pct_change"))
 
 
 @query("p07_valuation", "SELECT code, ann_date AS date, CASE WHEN value > 100000 THEN ln(value) END AS log_mv FROM reports")
@@ -129,7 +129,7 @@ def update_batches(t: Tables) -> DataFrame:
 
 @query("p21_eligible", "SELECT code, date FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date) AS n FROM bars) WHERE n >= 60")
 def eligible(t: Tables) -> DataFrame:
-    return t.bars.withColumn("n", F.row_number().over(wc)).filter("n >= 60").select("code", "date")
+    return t.bars.withColumn("n", F.row_number().over(wc())).filter("n >= 60").select("code", "date")
 
 
 @query("p23_expected_session", "WITH c AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS n FROM calendar WHERE date <= DATE '1997-05-05') SELECT code, max(bars.date) < (SELECT date FROM c WHERE n = 2) AS stale FROM bars WHERE bars.date <= DATE '1997-05-05' GROUP BY code")

@@ -31,7 +31,7 @@ def _advice(t: Tables) -> DataFrame:
 
 @query("w12_rule_score", f"WITH {ADVICE} SELECT code, date, score, score - lag(score, 5) OVER ({W}) AS change FROM scored_adv")
 def rule_score(t: Tables) -> DataFrame:
-    return _advice(t).select("code", "date", "score", (F.col("score") - F.lag("score", 5).over(wc)).alias("change"))
+    return _advice(t).select("code", "date", "score", (F.col("score") - F.lag("score", 5).over(wc())).alias("change"))
 
 
 @query("w38_advice", f"WITH {ADVICE} SELECT code, arg_max(score, date) AS score, CASE WHEN arg_max(score, date) >= 3 THEN 'buy' WHEN arg_max(score, date) >= 1 THEN 'lean_buy' WHEN arg_max(score, date) <= -3 THEN 'sell' WHEN arg_max(score, date) <= -1 THEN 'lean_sell' ELSE 'hold' END AS action FROM scored_adv GROUP BY code")
@@ -42,7 +42,7 @@ def advice(t: Tables) -> DataFrame:
 
 @query("w35_fund_flow", f"WITH x AS (SELECT code, date, sum(coalesce(sign(close - open), 0) * amount) OVER ({W} ROWS 4 PRECEDING) AS flow, sum(amount) OVER ({W} ROWS 4 PRECEDING) AS total FROM bars) SELECT code, date, flow / nullif(total, 0) AS share, CASE WHEN flow / nullif(total, 0) > 0.5 THEN 2 WHEN flow > 0 THEN 1 WHEN flow / nullif(total, 0) < -0.5 THEN -2 WHEN flow < 0 THEN -1 ELSE 0 END AS score FROM x")
 def fund_flow(t: Tables) -> DataFrame:
-    five = wc.rowsBetween(-4, 0)
+    five = wc().rowsBetween(-4, 0)
     x = t.bars.select("code", "date", F.sum(F.signum(F.col("close") - F.col("open")) * F.col("amount")).over(five).alias("flow"), F.sum("amount").over(five).alias("total"))
     s = F.try_divide("flow", F.nullif("total", F.lit(0.0)))
     return x.select("code", "date", s.alias("share"), F.when(s > 0.5, 2).when(F.col("flow") > 0, 1).when(s < -0.5, -2).when(F.col("flow") < 0, -1).otherwise(0).alias("score"))
@@ -126,7 +126,7 @@ def promotion(t: Tables) -> DataFrame:
 @query("b20_confidence_gate", f"WITH c AS (SELECT *, 1 - abs({rank('ridge_pred')} / count(*) OVER ({D}) - {rank('lgbm_pred')} / count(*) OVER ({D})) AS conf FROM predictions), q AS (SELECT *, quantile_cont(conf, 0.5) OVER ({D}) AS cut FROM c) SELECT date, avg(ret) FILTER (conf >= cut) AS gated, avg(ret) AS plain FROM q GROUP BY date")
 def confidence_gate(t: Tables) -> DataFrame:
     c = t.predictions.withColumn("conf", 1 - F.abs(cross.rank_pct("ridge_pred") - cross.rank_pct("lgbm_pred")))
-    q = c.withColumn("cut", F.percentile("conf", 0.5).over(wd))
+    q = c.withColumn("cut", F.percentile("conf", 0.5).over(wd()))
     return q.groupBy("date").agg(F.avg(F.when(F.col("conf") >= F.col("cut"), F.col("ret"))).alias("gated"), F.avg("ret").alias("plain"))
 
 

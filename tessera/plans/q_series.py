@@ -76,13 +76,13 @@ def macd_panel(t: Tables) -> DataFrame:
 
 @query("w09_range_gap", f"WITH g AS (SELECT code, date, (high - low) / close AS range, open / lag(close) OVER ({W}) - 1 AS gap FROM bars) SELECT code, date, range, gap, {over('avg', 'gap', 5, 2)} AS gap_mean, {over('stddev_samp', 'gap', 20, 5)} AS gap_std FROM g")
 def range_gap(t: Tables) -> DataFrame:
-    g = t.bars.select("code", "date", ((F.col("high") - F.col("low")) / F.col("close")).alias("range"), (F.try_divide("open", F.lag("close").over(wc)) - 1).alias("gap"))
+    g = t.bars.select("code", "date", ((F.col("high") - F.col("low")) / F.col("close")).alias("range"), (F.try_divide("open", F.lag("close").over(wc())) - 1).alias("gap"))
     return g.select("code", "date", "range", "gap", roll(F.avg, "gap", 5, 2).alias("gap_mean"), roll(F.stddev_samp, "gap", 20, 5).alias("gap_std"))
 
 
 @query("w10_changes", f"SELECT code, date, amount / nullif(lag(amount, 5) OVER ({W}), 0) - 1 AS amount_change, volume - lag(volume, 5) OVER ({W}) AS volume_change FROM bars")
 def changes(t: Tables) -> DataFrame:
-    return t.bars.select("code", "date", change("amount", 5).alias("amount_change"), (F.col("volume") - F.lag("volume", 5).over(wc)).alias("volume_change"))
+    return t.bars.select("code", "date", change("amount", 5).alias("amount_change"), (F.col("volume") - F.lag("volume", 5).over(wc())).alias("volume_change"))
 
 
 _TP = "(high + low + close) / 3"
@@ -114,19 +114,19 @@ def ewm_indicators(t: Tables) -> DataFrame:
 @query("w23_sessions_since", f"WITH c AS (SELECT date, row_number() OVER (ORDER BY date) AS ord FROM calendar) SELECT code, date, ord - lag(ord) OVER ({W}) AS sessions FROM bars JOIN c USING (date)")
 def sessions_since(t: Tables) -> DataFrame:
     numbered = t.bars.select("code", "date").join(asof.session_number(t.calendar), "date")
-    return numbered.select("code", "date", (F.col("ord") - F.lag("ord").over(wc)).cast("long").alias("sessions"))
+    return numbered.select("code", "date", (F.col("ord") - F.lag("ord").over(wc())).cast("long").alias("sessions"))
 
 
 @query("w24_event_counts", f"WITH e AS (SELECT code, date, count(ann_date) AS n FROM bars LEFT JOIN reports r USING (code) WHERE r.ann_date = bars.date GROUP BY ALL), j AS (SELECT b.code, b.date, coalesce(n, 0) AS n FROM bars b LEFT JOIN e USING (code, date)) SELECT code, date, (sum(n) OVER ({W} ROWS 4 PRECEDING))::BIGINT AS events_5, (sum(n) OVER ({W} ROWS 19 PRECEDING))::BIGINT AS events_20 FROM j")
 def event_counts(t: Tables) -> DataFrame:
     e = t.reports.groupBy("code", F.col("ann_date").alias("date")).agg(F.count("*").alias("n"))
     j = t.bars.select("code", "date").join(e, ["code", "date"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return j.select("code", "date", F.sum("n").over(wc.rowsBetween(-4, 0)).alias("events_5"), F.sum("n").over(wc.rowsBetween(-19, 0)).alias("events_20"))
+    return j.select("code", "date", F.sum("n").over(wc().rowsBetween(-4, 0)).alias("events_5"), F.sum("n").over(wc().rowsBetween(-19, 0)).alias("events_20"))
 
 
 @query("w25_forward_returns", f"SELECT code, date, {', '.join(f'lead(close, {h}) OVER ({W}) / close - 1 AS target_ret_{h}d' for h in (1, 3, 5))}, lead(open, 4) OVER ({W}) / lead(open, 1) OVER ({W}) - 1 AS open_ret_3d FROM bars")
 def forward_returns(t: Tables) -> DataFrame:
-    return t.bars.select("code", "date", *(forward("close", h).alias(f"target_ret_{h}d") for h in (1, 3, 5)), forward("open", 4, F.lead("open", 1).over(wc)).alias("open_ret_3d"))
+    return t.bars.select("code", "date", *(forward("close", h).alias(f"target_ret_{h}d") for h in (1, 3, 5)), forward("open", 4, F.lead("open", 1).over(wc())).alias("open_ret_3d"))
 
 
 def _sell(h: int, cap: int = 3) -> str:
@@ -144,13 +144,13 @@ def tradability_query(t: Tables) -> DataFrame:
 
 @query("w33_money_flow", f"SELECT code, date, coalesce(sign(close - lag(close) OVER ({W})), 0) * amount AS flow FROM bars")
 def money_flow(t: Tables) -> DataFrame:
-    return t.bars.select("code", "date", (F.coalesce(F.signum(F.col("close") - F.lag("close").over(wc)), F.lit(0.0)) * F.col("amount")).alias("flow"))
+    return t.bars.select("code", "date", (F.coalesce(F.signum(F.col("close") - F.lag("close").over(wc())), F.lit(0.0)) * F.col("amount")).alias("flow"))
 
 
 @query("w34_flow_score", f"WITH x AS (SELECT code, date, close / lag(close) OVER ({W}) - 1 AS r1, close / lag(close, 5) OVER ({W}) - 1 AS r5, avg(amount) OVER ({W} ROWS 4 PRECEDING) / avg(amount) OVER ({W} ROWS 19 PRECEDING) AS heat, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS n FROM bars) SELECT code, date, least(greatest(CASE WHEN r1 > 0.02 THEN 1 WHEN r1 < -0.02 THEN -1 ELSE 0 END + CASE WHEN r5 > 0.05 THEN 1 WHEN r5 < -0.05 THEN -1 ELSE 0 END + CASE WHEN heat > 1.2 AND r5 > 0 THEN 1 WHEN heat > 1.2 AND r5 < 0 THEN -1 ELSE 0 END, -2), 2) AS score FROM x WHERE n = 1")
 def flow_score(t: Tables) -> DataFrame:
     last = Window.partitionBy("code").orderBy(F.desc("date"))
-    x = t.bars.select("code", "date", change("close", 1).alias("r1"), change("close", 5).alias("r5"), F.try_divide(F.avg("amount").over(wc.rowsBetween(-4, 0)), F.avg("amount").over(wc.rowsBetween(-19, 0))).alias("heat"), F.row_number().over(last).alias("n"))
+    x = t.bars.select("code", "date", change("close", 1).alias("r1"), change("close", 5).alias("r5"), F.try_divide(F.avg("amount").over(wc().rowsBetween(-4, 0)), F.avg("amount").over(wc().rowsBetween(-19, 0))).alias("heat"), F.row_number().over(last).alias("n"))
     side = lambda up, down: F.when(up, 1).when(down, -1).otherwise(0)
     score = side(F.col("r1") > 0.02, F.col("r1") < -0.02) + side(F.col("r5") > 0.05, F.col("r5") < -0.05) + side((F.col("heat") > 1.2) & (F.col("r5") > 0), (F.col("heat") > 1.2) & (F.col("r5") < 0))
     return x.filter("n = 1").select("code", "date", F.least(F.greatest(score, F.lit(-2)), F.lit(2)).alias("score"))
@@ -168,8 +168,8 @@ def risk_levels(t: Tables) -> DataFrame:
 @query("w37_index_trend", f"WITH i AS (SELECT 'ALL' AS code, date, avg(close) AS close FROM bars GROUP BY date), x AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS pct, close / lag(close, 3) OVER (ORDER BY date) - 1 AS cum3, avg(close) OVER (ORDER BY date ROWS 4 PRECEDING) AS ma5 FROM i) SELECT date, pct, cum3, CASE WHEN ma5 > lag(ma5) OVER (ORDER BY date) THEN 'up' WHEN ma5 < lag(ma5) OVER (ORDER BY date) THEN 'down' ELSE 'flat' END AS slope FROM x")
 def index_trend(t: Tables) -> DataFrame:
     i = t.bars.groupBy(F.lit("ALL").alias("code"), "date").agg(F.avg("close").alias("close"))
-    x = i.select("code", "date", change("close", 1).alias("pct"), change("close", 3).alias("cum3"), F.avg("close").over(wc.rowsBetween(-4, 0)).alias("ma5"))
-    before = F.lag("ma5").over(wc)
+    x = i.select("code", "date", change("close", 1).alias("pct"), change("close", 3).alias("cum3"), F.avg("close").over(wc().rowsBetween(-4, 0)).alias("ma5"))
+    before = F.lag("ma5").over(wc())
     return x.select("date", "pct", "cum3", F.when(F.col("ma5") > before, "up").when(F.col("ma5") < before, "down").otherwise("flat").alias("slope"))
 
 
@@ -177,7 +177,7 @@ def index_trend(t: Tables) -> DataFrame:
 def sale_marks(t: Tables) -> DataFrame:
     """The bar of a sale and the three after it, by one pass of leads over the bars."""
     b = t.bars.select("code", "date", "close", "amount")
-    ahead = F.array(*(F.struct(F.lead("date", k).over(wc).alias("date"), F.lead("close", k).over(wc).alias("close"), F.lit(k + 1).cast("long").alias("n")) for k in range(4)))
+    ahead = F.array(*(F.struct(F.lead("date", k).over(wc()).alias("date"), F.lead("close", k).over(wc()).alias("close"), F.lit(k + 1).cast("long").alias("n")) for k in range(4)))
     x = b.select("code", F.col("date").alias("sold"), "amount", ahead.alias("a")).filter("amount > 150000")
     return x.select("code", "sold", F.explode("a").alias("m")).filter("m.date is not null").select("code", "sold", "m.date", "m.close", "m.n")
 
@@ -186,8 +186,8 @@ def sale_marks(t: Tables) -> DataFrame:
 def regimes(t: Tables) -> DataFrame:
     i = t.bars.groupBy(F.lit("ALL").alias("code"), "date").agg(F.avg("close").alias("close"))
     r = i.select("code", "date", change("close", 1).alias("r"))
-    x = r.select("code", "date", F.sum("r").over(wc.rowsBetween(-19, 0)).alias("trend"), F.stddev_samp("r").over(wc.rowsBetween(-19, 0)).alias("vol"))
-    mid = F.when(F.count("vol").over(wc.rowsBetween(-251, 0)) >= 63, F.percentile("vol", 0.5).over(wc.rowsBetween(-251, 0)))
+    x = r.select("code", "date", F.sum("r").over(wc().rowsBetween(-19, 0)).alias("trend"), F.stddev_samp("r").over(wc().rowsBetween(-19, 0)).alias("vol"))
+    mid = F.when(F.count("vol").over(wc().rowsBetween(-251, 0)) >= 63, F.percentile("vol", 0.5).over(wc().rowsBetween(-251, 0)))
     y = x.withColumn("mid", mid)
     return y.select("date", F.when(F.col("mid").isNull(), "unknown").when(F.col("vol") > F.col("mid"), "stress").when(F.col("trend") > 0, "up").otherwise("down").alias("regime"))
 

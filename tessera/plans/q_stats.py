@@ -88,7 +88,7 @@ def ic_weights(t: Tables) -> DataFrame:
 
 @query("a10_regression_metrics", f"WITH r AS (SELECT *, {rank('ridge_pred')} AS a, {rank('ret')} AS b, quantile_cont(ridge_pred, 0.8) OVER ({D}) AS cut FROM predictions) SELECT date, corr(a, b) AS rank_ic, avg(pow(ridge_pred - ret, 2)) AS mse, avg(ret) FILTER (ridge_pred >= cut) AS top_mean FROM r GROUP BY date HAVING count(*) >= 5")
 def regression_metrics(t: Tables) -> DataFrame:
-    r = t.predictions.select("date", "ridge_pred", "ret", cross.avg_rank("ridge_pred").alias("a"), cross.avg_rank("ret").alias("b"), F.percentile("ridge_pred", 0.8).over(wd).alias("cut"))
+    r = t.predictions.select("date", "ridge_pred", "ret", cross.avg_rank("ridge_pred").alias("a"), cross.avg_rank("ret").alias("b"), F.percentile("ridge_pred", 0.8).over(wd()).alias("cut"))
     g = r.groupBy("date").agg(correlation("a", "b").alias("rank_ic"), F.avg(F.pow(F.col("ridge_pred") - F.col("ret"), 2)).alias("mse"), F.avg(F.when(F.col("ridge_pred") >= F.col("cut"), F.col("ret"))).alias("top_mean"), F.count("*").alias("n"))
     return g.filter("n >= 5").drop("n")
 
@@ -156,12 +156,12 @@ def concentration(t: Tables) -> DataFrame:
 
 @query("a21_pick_overlap", f"WITH p AS (SELECT date, code, row_number() OVER ({D} ORDER BY ridge_pred DESC, code) <= 5 AS a, row_number() OVER ({D} ORDER BY lgbm_pred DESC, code) <= 5 AS b FROM predictions) SELECT date, count(*) FILTER (a AND b) / count(*) FILTER (a OR b) AS jaccard FROM p GROUP BY date")
 def pick_overlap(t: Tables) -> DataFrame:
-    p = t.predictions.select("date", *((F.row_number().over(wd.orderBy(F.desc(c), "code")) <= 5).alias(n) for n, c in (("a", "ridge_pred"), ("b", "lgbm_pred"))))
+    p = t.predictions.select("date", *((F.row_number().over(wd().orderBy(F.desc(c), "code")) <= 5).alias(n) for n, c in (("a", "ridge_pred"), ("b", "lgbm_pred"))))
     return p.groupBy("date").agg((F.count_if(F.col("a") & F.col("b")) / F.count_if(F.col("a") | F.col("b"))).alias("jaccard"))
 
 
 @query("a22_contribution", f"WITH h AS (SELECT *, CASE WHEN row_number() OVER ({D} ORDER BY ridge_pred DESC, code) <= 5 THEN 0.2 ELSE 0 END AS w FROM predictions) SELECT industry, strftime(date, '%Y-%m') AS month, sum(w * ret) AS contribution FROM h JOIN securities USING (code) GROUP BY ALL")
 def contribution(t: Tables) -> DataFrame:
-    w = F.when(F.row_number().over(wd.orderBy(F.desc("ridge_pred"), "code")) <= 5, 0.2).otherwise(0.0)
+    w = F.when(F.row_number().over(wd().orderBy(F.desc("ridge_pred"), "code")) <= 5, 0.2).otherwise(0.0)
     h = t.predictions.withColumn("w", w).join(t.securities, "code")
     return h.groupBy("industry", F.date_format("date", "yyyy-MM").alias("month")).agg(F.sum(F.col("w") * F.col("ret")).alias("contribution"))

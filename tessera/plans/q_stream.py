@@ -61,7 +61,7 @@ def surge_cooldown(t: Tables) -> DataFrame:
 @query("t07_volume_surge", f"WITH {ST}, b AS (SELECT *, first_value(CASE WHEN delta > 0 THEN delta END IGNORE NULLS) OVER (PARTITION BY code ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS base FROM st) SELECT code, min(event_id) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ts, event_id) AS rn FROM b WHERE delta >= 3 * base) WHERE rn = 1 GROUP BY code")
 def volume_surge(t: Tables) -> DataFrame:
     s = tk.intraday_state(t.ticks)
-    b = s.withColumn("base", F.first(F.when(F.col("delta") > 0, F.col("delta")), ignorenulls=True).over(tk.sofar))
+    b = s.withColumn("base", F.first(F.when(F.col("delta") > 0, F.col("delta")), ignorenulls=True).over(tk.sofar()))
     return tk.once(b, F.col("delta") >= 3 * F.col("base")).select("code", "event_id")
 
 
@@ -102,7 +102,7 @@ def sector_status(t: Tables) -> DataFrame:
     j = asof(t.ticks.withColumn("d", day("ts")), bench, "bts", ["bench"], key="d", date="ts")
     excess = F.try_divide("last", F.nullif("bench", F.lit(0.0))) - 1
     s = j.withColumn("status", F.when(excess > 0.3, "strong").when(excess < -0.3, "weak").otherwise("neutral"))
-    return s.withColumn("was", F.lag("status").over(tk.wt)).filter(~F.col("was").eqNullSafe(F.col("status"))).select("code", "event_id", "status")
+    return s.withColumn("was", F.lag("status").over(tk.wt())).filter(~F.col("was").eqNullSafe(F.col("status"))).select("code", "event_id", "status")
 
 
 @query("t17_rerank", f"WITH {ST}, l AS (SELECT code, arg_max(last, {{'a': ts, 'b': event_id}}) AS last, arg_max(vwap, {{'a': ts, 'b': event_id}}) AS vwap, arg_max(first, {{'a': ts, 'b': event_id}}) AS first FROM st GROUP BY code), s AS (SELECT code, last / nullif(first, 0) - 1 AS expected, greatest(least(coalesce(1 - last / vwap, 0), 0.02), -0.02) AS adj FROM l), p AS (SELECT *, row_number() OVER (ORDER BY expected DESC, code) AS pool FROM s WHERE expected > 0.003) SELECT code, expected, adj, row_number() OVER (ORDER BY expected + adj DESC, code) AS place FROM p WHERE pool <= 30")

@@ -44,11 +44,11 @@ def industry_neutral(t: Tables) -> DataFrame:
 
 @query("x08_orthogonal", f"WITH r AS (SELECT code, date, {rank('ridge_pred')} AS a, {rank('lgbm_pred')} AS b FROM predictions), e AS (SELECT code, date, a - avg(a) OVER ({D}) - coalesce(covar_pop(a, b) OVER ({D}) / nullif(var_pop(b) OVER ({D}), 0), 0) * (b - avg(b) OVER ({D})) AS e FROM r) SELECT code, date, e / nullif(stddev_pop(e) OVER ({D}), 0) AS x FROM e WHERE date IN (SELECT date FROM predictions GROUP BY date HAVING count(*) >= 5)")
 def orthogonal(t: Tables) -> DataFrame:
-    p = t.predictions.withColumn("n", F.count("*").over(wd)).filter("n >= 5")
+    p = t.predictions.withColumn("n", F.count("*").over(wd())).filter("n >= 5")
     r = p.select("code", "date", cross.avg_rank("ridge_pred").alias("a"), cross.avg_rank("lgbm_pred").alias("b"))
-    slope = F.coalesce(F.try_divide(F.covar_pop("a", "b").over(wd), F.nullif(F.var_pop("b").over(wd), F.lit(0.0))), F.lit(0.0))
-    e = r.withColumn("e", F.col("a") - F.avg("a").over(wd) - slope * (F.col("b") - F.avg("b").over(wd)))
-    return e.select("code", "date", F.try_divide("e", F.nullif(F.stddev_pop("e").over(wd), F.lit(0.0))).alias("x"))
+    slope = F.coalesce(F.try_divide(F.covar_pop("a", "b").over(wd()), F.nullif(F.var_pop("b").over(wd()), F.lit(0.0))), F.lit(0.0))
+    e = r.withColumn("e", F.col("a") - F.avg("a").over(wd()) - slope * (F.col("b") - F.avg("b").over(wd())))
+    return e.select("code", "date", F.try_divide("e", F.nullif(F.stddev_pop("e").over(wd()), F.lit(0.0))).alias("x"))
 
 
 @query("x09_buckets", f"WITH r AS (SELECT code, date, row_number() OVER ({D} ORDER BY ridge_pred, code) AS rn, count(*) OVER ({D}) AS n FROM predictions) SELECT code, date, CASE WHEN n > 1 THEN CAST(greatest(ceil((rn - 1) * 5 / (n - 1)) - 1, 0) AS INTEGER) END AS bucket FROM r")
@@ -73,7 +73,7 @@ def crosses(t: Tables) -> DataFrame:
 
 @query("x13_prepare", f"WITH w AS (SELECT code, date, vol, greatest(least(ridge_pred, quantile_cont(ridge_pred, 0.99) OVER ({D})), quantile_cont(ridge_pred, 0.01) OVER ({D})) AS x FROM predictions), v AS (SELECT code, date, x, greatest(least(vol, quantile_cont(vol, 0.99) OVER ({D})), quantile_cont(vol, 0.01) OVER ({D})) AS s FROM w), n AS (SELECT code, date, x - regr_slope(x, s) OVER ({D}) * s - regr_intercept(x, s) OVER ({D}) AS r FROM v WHERE date IN (SELECT date FROM v GROUP BY date HAVING count(*) >= 5)) SELECT code, date, {z('r')} AS z FROM n")
 def prepare(t: Tables) -> DataFrame:
-    p = t.predictions.withColumn("n", F.count("*").over(wd)).filter("n >= 5")
+    p = t.predictions.withColumn("n", F.count("*").over(wd())).filter("n >= 5")
     w = p.select("code", "date", cross.winsor("ridge_pred").alias("x"), cross.winsor("vol").alias("s"))
     n = w.select("code", "date", cross.size_neutral("x", "s").alias("r"))
     return n.select("code", "date", cross.zscore("r").alias("z"))
@@ -108,9 +108,9 @@ def agreement(t: Tables) -> DataFrame:
 
 @query("x20_pool_rerank", f"WITH p AS (SELECT * FROM (SELECT *, row_number() OVER ({D} ORDER BY ridge_pred DESC, code) AS rn FROM predictions) WHERE rn <= 8), s AS (SELECT code, date, coalesce({z('ridge_pred', 'stddev_pop')}, 0) + 0.5 * coalesce({z('lgbm_pred', 'stddev_pop')}, 0) AS s FROM p) SELECT code, date, row_number() OVER ({D} ORDER BY s DESC, code) AS place FROM s")
 def pool_rerank(t: Tables) -> DataFrame:
-    pool = t.predictions.withColumn("rn", F.row_number().over(wd.orderBy(F.desc("ridge_pred"), "code"))).filter("rn <= 8")
+    pool = t.predictions.withColumn("rn", F.row_number().over(wd().orderBy(F.desc("ridge_pred"), "code"))).filter("rn <= 8")
     s = pool.select("code", "date", (cross.zscore("ridge_pred", True, True) + 0.5 * cross.zscore("lgbm_pred", True, True)).alias("s"))
-    return s.select("code", "date", F.row_number().over(wd.orderBy(F.desc("s"), "code")).alias("place"))
+    return s.select("code", "date", F.row_number().over(wd().orderBy(F.desc("s"), "code")).alias("place"))
 
 
 @query("x21_state", "SELECT date, count(ridge_pred) AS n, stddev_pop(ridge_pred) AS dispersion, (list_avg(list_reverse_sort(list(ridge_pred))[1:2]) - median(ridge_pred)) / nullif(stddev_pop(ridge_pred), 0) AS lead FROM predictions GROUP BY date")
@@ -125,7 +125,7 @@ def state(t: Tables) -> DataFrame:
 def live_rank(t: Tables) -> DataFrame:
     p = t.predictions
     last = p.join(F.broadcast(p.agg(F.max("date").alias("date"))), "date").withColumn("score", F.col("ridge_pred") + F.col("lgbm_pred"))
-    s = last.select("code", "score", F.row_number().over(wd.orderBy(F.desc("score"), "code")).alias("place"), F.count("*").over(wd).alias("n"))
+    s = last.select("code", "score", F.row_number().over(wd().orderBy(F.desc("score"), "code")).alias("place"), F.count("*").over(wd()).alias("n"))
     return s.select("code", "score", "place", F.when(F.col("n") > 1, 1 - (F.col("place") - 1) / (F.col("n") - 1)).alias("rank_pct"))
 
 
@@ -139,7 +139,7 @@ def labels(t: Tables) -> DataFrame:
 @query("x25_candidates", f"WITH r AS (SELECT date, code, industry, row_number() OVER ({D} ORDER BY ridge_pred DESC, code) AS a, row_number() OVER (PARTITION BY date, industry ORDER BY ridge_pred DESC, code) AS b FROM predictions JOIN securities USING (code)) SELECT date, code, 'all' AS grp, a AS place FROM r WHERE a <= 5 UNION ALL SELECT date, code, industry, b FROM r WHERE b <= 2")
 def candidates(t: Tables) -> DataFrame:
     p = t.predictions.join(t.securities, "code")
-    r = p.select("date", "code", "industry", F.row_number().over(wd.orderBy(F.desc("ridge_pred"), "code")).alias("a"), F.row_number().over(Window.partitionBy("date", "industry").orderBy(F.desc("ridge_pred"), "code")).alias("b"))
+    r = p.select("date", "code", "industry", F.row_number().over(wd().orderBy(F.desc("ridge_pred"), "code")).alias("a"), F.row_number().over(Window.partitionBy("date", "industry").orderBy(F.desc("ridge_pred"), "code")).alias("b"))
     return r.filter("a <= 5").select("date", "code", F.lit("all").alias("grp"), F.col("a").alias("place")).union(r.filter("b <= 2").select("date", "code", "industry", "b"))
 
 

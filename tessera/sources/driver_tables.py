@@ -90,7 +90,7 @@ class Tables:
         from tessera.functions.rolling import wc
 
         c = F.col("close")
-        legs = self.bars.select("code", "date", (c / F.lag("close", 5).over(wc) - 1).alias("ridge_pred"), (1 - c / F.avg("close").over(wc.rowsBetween(-9, 0))).alias("lgbm_pred"), F.signum(c - F.lag("close", 1).over(wc)).alias("rule_score"), (F.lead("close", 3).over(wc) / c - 1).alias("ret"), F.stddev_samp("close").over(wc.rowsBetween(-9, 0)).alias("vol"))
+        legs = self.bars.select("code", "date", (c / F.lag("close", 5).over(wc()) - 1).alias("ridge_pred"), (1 - c / F.avg("close").over(wc().rowsBetween(-9, 0))).alias("lgbm_pred"), F.signum(c - F.lag("close", 1).over(wc())).alias("rule_score"), (F.lead("close", 3).over(wc()) / c - 1).alias("ret"), F.stddev_samp("close").over(wc().rowsBetween(-9, 0)).alias("vol"))
         return legs.dropna()
 
 

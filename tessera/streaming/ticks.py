@@ -8,10 +8,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-wt = Window.partitionBy("code").orderBy("ts", "event_id")
-sofar = wt.rowsBetween(Window.unboundedPreceding, 0)
+
+def wt() -> WindowSpec:
+    """The ticks of a code in arrival order."""
+    return Window.partitionBy("code").orderBy("ts", "event_id")
+
+
+def sofar() -> WindowSpec:
+    return wt().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def intraday_state(ticks: DataFrame) -> DataFrame:
@@ -20,20 +27,20 @@ def intraday_state(ticks: DataFrame) -> DataFrame:
     near = F.try_divide(v, F.nullif("last", F.lit(0.0))).between(0.5, 2)
     return ticks.withColumns(
         {
-            "prev": F.lag("last").over(wt),
-            "prev_ts": F.lag("ts").over(wt),
-            "high": F.max("last").over(sofar),
-            "low": F.min("last").over(sofar),
-            "first": F.first("last").over(sofar),
+            "prev": F.lag("last").over(wt()),
+            "prev_ts": F.lag("ts").over(wt()),
+            "high": F.max("last").over(sofar()),
+            "low": F.min("last").over(sofar()),
+            "first": F.first("last").over(sofar()),
             "vwap": F.when(near, v),
-            "delta": F.col("amount") - F.lag("amount").over(wt),
+            "delta": F.col("amount") - F.lag("amount").over(wt()),
         }
     )
 
 
 def once(df: DataFrame, condition: Column) -> DataFrame:
     """The first tick of each code for which a condition holds."""
-    return df.filter(condition).withColumn("__n", F.row_number().over(wt)).filter("__n = 1").drop("__n")
+    return df.filter(condition).withColumn("__n", F.row_number().over(wt())).filter("__n = 1").drop("__n")
 
 
 def surge_candidates(state: DataFrame, share: float, longest_s: int) -> DataFrame:

@@ -130,7 +130,7 @@ def test_no_feature_sees_the_future(spark, sf):
     full = window_indicators(b).filter("date < date'1996-01-01'")
     cut = window_indicators(b.filter("date < date'1996-01-01'"))
     assert full.exceptAll(cut).count() == 0 and full.count() == cut.count()
-    assert b.select(F.lag("close").over(wc)).count() == b.count()
+    assert b.select(F.lag("close").over(wc())).count() == b.count()
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
