@@ -66,13 +66,13 @@ def purge_spans(t: Tables) -> DataFrame:
     return h.groupBy("year", "h", months.alias("valid_months"), (F.col("h") + 2).alias("tradable_span"), (F.col("h") + 1).alias("open_span")).agg(F.count("*").alias("n"))
 
 
-GRID = "params AS (SELECT row_number() OVER (ORDER BY top_n, a, b) AS param_id, top_n, a AS w_ridge_pred, b AS w_lgbm_pred FROM (SELECT unnest([3, 5]) AS top_n), (SELECT unnest([0.5::DOUBLE, 1.0::DOUBLE]) AS a), (SELECT unnest([0.0::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE]) AS b))"
+GRID = "params AS (SELECT row_number() OVER (ORDER BY top_n, a, b) AS param_id, top_n, a AS w_ridge_pred, b AS w_lgbm_pred FROM (SELECT unnest([3, 5]) AS top_n), (SELECT unnest([0.5::DOUBLE, 1.0::DOUBLE]) AS a), (SELECT unnest([0.1::DOUBLE, 0.6::DOUBLE, 1.1::DOUBLE]) AS b))"
 RUN = f"{GRID}, s AS (SELECT param_id, date, code, ret, top_n, w_ridge_pred * ridge_pred + w_lgbm_pred * lgbm_pred AS score FROM predictions, params), p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY param_id, date ORDER BY score DESC, code) AS rn FROM s) WHERE rn <= top_n), w AS (SELECT param_id, date, code, ret, least(1.0 / count(*) OVER (PARTITION BY param_id, date), 0.15) AS weight FROM p), d AS (SELECT param_id, date, row_number() OVER (PARTITION BY param_id ORDER BY date) AS k FROM (SELECT DISTINCT param_id, date FROM w)), a AS (SELECT w.param_id, k, code, weight, ret FROM w JOIN d USING (param_id, date)), b AS (SELECT param_id, k + 1 AS k, code, weight AS before FROM a), c AS (SELECT param_id, k, coalesce(weight, 0) AS x, coalesce(before, 0) AS y, coalesce(ret, 0) AS r FROM a FULL JOIN b USING (param_id, k, code)), grid AS (SELECT d.param_id, d.date, sum(x * r) - 0.002 * (sum(abs(x - y)) + abs(sum(x) - sum(y))) / 2 AS net FROM c JOIN d USING (param_id, k) GROUP BY ALL)"
 
 
 def _params(t: Tables) -> DataFrame:
     part = lambda name, values: t.spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(name))
-    p = part("top_n", (3, 5)).crossJoin(part("w_ridge_pred", (0.5, 1.0))).crossJoin(part("w_lgbm_pred", (0.0, 0.5, 1.0)))
+    p = part("top_n", (3, 5)).crossJoin(part("w_ridge_pred", (0.5, 1.0))).crossJoin(part("w_lgbm_pred", (0.1, 0.6, 1.1)))
     return p.withColumn("param_id", F.row_number().over(Window.orderBy("top_n", "w_ridge_pred", "w_lgbm_pred")))
 
 

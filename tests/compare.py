@@ -25,10 +25,15 @@ def _key(v):
     if isinstance(v, bool):
         return (1, int(v))
     if isinstance(v, int | float):
-        return (1, round(float(v), 4))
+        return (1, float(f"{float(v):.6g}"))
     return (2, str(v))
 
 
+def _row_key(row):
+    """Exact values first, so that noise in the last digits of a float doesn't reorder rows."""
+    return sorted(((isinstance(v, float), i, *_key(v)) for i, v in enumerate(row)), key=lambda k: k[:2])
+
+
 def same(a, b) -> bool:
     if a is None or b is None:
         return a is b
@@ -44,8 +49,8 @@ def differences(spark_rows, spark_cols, con, sql: str) -> list[str]:
     if sorted(cols) != sorted(spark_cols):
         return [f"columns {sorted(spark_cols)} and {sorted(cols)}"]
     order = sorted(cols)
-    a = sorted(([r[spark_cols.index(c)] for c in order] for r in spark_rows), key=lambda r: [_key(v) for v in r])
-    b = sorted(([r[cols.index(c)] for c in order] for r in cur.fetchall()), key=lambda r: [_key(v) for v in r])
+    a = sorted(([r[spark_cols.index(c)] for c in order] for r in spark_rows), key=_row_key)
+    b = sorted(([r[cols.index(c)] for c in order] for r in cur.fetchall()), key=_row_key)
     if len(a) != len(b):
         return [f"{len(a)} and {len(b)} rows"]
     return [f"{order}: {x} and {y}" for x, y in zip(a, b, strict=True) if not all(map(same, x, y))][:5]
