@@ -1,9 +1,12 @@
 """Benchmark decontamination by greedy string tiling with running Karp-Rabin (Wise, 1993).
 
-A document and a benchmark item meet if they share a seed, ``seed`` words in a row (the whole item where it is shorter).
-For such a pair the longest common run of unmarked words is found by rolling hashes and marked on both sides, again and
-again, until none of ``least`` words is left. The marked share of the item is its coverage; marked runs may stand in any
-order, so passages whose sentences were moved are found too. Coverage of ``threshold`` or more means contamination.
+For a document and a benchmark item the longest common run of unmarked words is found by rolling hashes and marked on both
+sides, again and again, until none of ``least`` words is left (the whole item where it is shorter). The marked share of the
+item is its coverage; marked runs may stand in any order, so passages whose sentences were moved are found too. Coverage of
+``threshold`` or more means contamination.
+
+Every tile consists of runs of ``least`` words that both sides have, so the item's words in such runs bound its coverage from
+above; the pairs whose bound reaches the threshold are tiled, and no other pair can be contaminated.
 
 The items go to the tasks in blocks of at most ``block_words`` words (a proven bound on each broadcast); every block meets
 every document in one pass. The largest coverage decides, so the number of items a document meets is not limited.
@@ -24,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import U, mix, shingles, words
+from .kernels import U, mix, words
 from .shared import row_blocks, text_bytes
 
-SEED, LEAST, THRESHOLD = 5, 3, 0.8
+LEAST, THRESHOLD = 3, 0.8
 BLOCK_WORDS = 1_000_000
 BLOCK = 1 << 20
+#: Shared runs that are looked at together, more only where one document has more.
+MEETINGS = 1 << 21
 
 
 def _grams(h: np.ndarray, q: int) -> np.ndarray:
@@ -100,21 +105,51 @@ _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("n_words", pa.int64()), (
 class Items:
     """A block of items, hashed on first use in a task."""
 
-    def __init__(self, rows: list[tuple[int, str]], seed: int) -> None:
+    def __init__(self, rows: list[tuple[int, str]], least: int) -> None:
         self.ids = [r[0] for r in rows]
         raw = [r[1].encode() for r in rows]
         off = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
         h, wo, _ = words(np.frombuffer(b"".join(raw), np.uint8), off)
         self.words = [h[a:b] for a, b in zip(wo[:-1], wo[1:], strict=True)]
-        self.seeds: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = {}
-        by: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for k, w in enumerate(self.words):
-            q = min(seed, len(w))
-            if q:
-                for g in set(_grams(w, q).tolist()):
-                    by[q][g].append(k)
-        for q, table in by.items():
-            self.seeds[q] = (np.sort(np.fromiter(table, U, len(table))), dict(table))
+        self.sizes = np.diff(wo)
+        #: Of each run length: the runs of the items in order, where each one's places start, and the places' items and words.
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for q in np.unique(np.minimum(self.sizes[self.sizes > 0], least)).tolist():
+            of = np.flatnonzero(np.minimum(self.sizes, least) == q)
+            grams = [_grams(self.words[k], q) for k in of.tolist()]
+            g, k, p = np.concatenate(grams), np.repeat(of, [len(x) for x in grams]), np.concatenate([np.arange(len(x)) for x in grams])
+            order = np.argsort(g, kind="stable")
+            known, first = np.unique(g[order], return_index=True)
+            self.runs[q] = (known, np.append(first, len(g)), k[order], p[order])
+
+    def candidates(self, h: np.ndarray, wo: np.ndarray, keep: float) -> list[list[int]]:
+        """Of each row of word hashes the items that its runs could cover by ``keep`` or more."""
+        out: list[list[int]] = [[] for _ in range(len(wo) - 1)]
+        for q, (known, first, of, place) in self.runs.items():
+            g = _grams(h, q)
+            at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+            hit = np.flatnonzero(known[at] == g)
+            row = np.searchsorted(wo, hit, "right") - 1
+            ok = hit + q <= wo[row + 1]
+            row, gram = np.divmod(np.unique(row[ok] * len(known) + at[hit[ok]]), len(known))
+            many = first[gram + 1] - first[gram]
+            upto = np.concatenate([[0], np.cumsum(np.bincount(row, many, len(out)))]).astype(np.int64)
+            for i, j in row_blocks(upto, MEETINGS):
+                x, y = np.searchsorted(row, [i, j])
+                n = many[x:y]
+                if not n.sum():
+                    continue
+                entry = np.repeat(first[gram[x:y]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                r, k, p = np.repeat(row[x:y], n), of[entry], place[entry]
+                order = np.lexsort((p, k, r))
+                r, k, p = r[order], k[order], p[order]
+                new = np.append(True, (r[1:] != r[:-1]) | (k[1:] != k[:-1]))
+                adds = np.append(np.where(new[1:], q, np.minimum(p[1:] - p[:-1], q)), q)
+                start = np.flatnonzero(new)
+                bound = np.add.reduceat(adds, start)
+                for a, b in zip(r[start][near := bound >= keep * self.sizes[k[start]]].tolist(), k[start][near].tolist(), strict=True):
+                    out[a].append(b)
+        return out
 
 
 def overlaps(text: "F.Column", items: Items, least: int, keep: float) -> "F.Column":  # noqa: UP037
@@ -126,18 +161,10 @@ def overlaps(text: "F.Column", items: Items, least: int, keep: float) -> "F.Colu
         out: list[list[dict]] = []
         for i, j in row_blocks(off, BLOCK):
             h, wo, _ = words(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            meets: dict[int, set[int]] = defaultdict(set)
-            for q, (known, table) in items.seeds.items():
-                g = _grams(h, q)
-                at = np.searchsorted(known, g)
-                hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == g)
-                row = np.searchsorted(wo, hit, "right") - 1
-                for r, p, x in zip(row.tolist(), hit.tolist(), g[hit].tolist(), strict=True):
-                    if p + q <= wo[r + 1]:
-                        meets[r].update(table[x])
+            meets = items.candidates(h, wo, keep)
             for r in range(j - i):
                 found = []
-                for k in sorted(meets.get(r, ())):
+                for k in sorted(meets[r]):
                     item = items.words[k]
                     parts = tiles(item, h[wo[r] : wo[r + 1]], least)
                     tiled = sum(t[2] for t in parts)
@@ -149,9 +176,9 @@ def overlaps(text: "F.Column", items: Items, least: int, keep: float) -> "F.Colu
     return run(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = SEED, least: int = LEAST, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with ``found``, the items that each document covers by ``threshold`` or more, with their tiles."""
     out = docs.withColumn("found", F.array().cast(FOUND))
     for rows in benchmark_blocks(benchmark, item_col, item_text_col, block_words):
-        out = out.withColumn("found", F.concat("found", overlaps(F.col(text_col), Items(rows, seed), least, threshold)))
+        out = out.withColumn("found", F.concat("found", overlaps(F.col(text_col), Items(rows, least), least, threshold)))
     return out

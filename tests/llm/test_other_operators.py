@@ -159,6 +159,26 @@ def test_contaminations(spark):
     assert all(r.found == [] for r in tiling.contaminations(docs, items.filter("false")).collect())
 
 
+def test_contaminations_match_brute_force_without_seeds(spark):
+    """Copies with every fourth or fifth word changed, and with pieces of 3 and 4 words in another order."""
+    rng = np.random.default_rng(6)
+    items = [[f"w{x}" for x in rng.integers(0, 60, n)] for n in (40, 41, 25, 12, 7, 3, 2, 1)]
+    docs = [[w if i % every else "new" for i, w in enumerate(x)] for x in items for every in (4, 5)]
+    for x in items[:4]:
+        pieces = [x[i : i + 3 + i % 2] for i in range(0, len(x), 4)]
+        docs.append([w for k in rng.permutation(len(pieces)) for w in ["and", *pieces[k]]])
+    docs += [[f"w{x}" for x in rng.integers(0, 60, 80)] for _ in range(10)]
+    number: dict = {}
+    coded = lambda x: [number.setdefault(w, len(number)) for w in x]
+    want = {d: [i for i, x in enumerate(items) if brute_tiles(coded(x), coded(y), min(3, len(x))) >= 0.8 * len(x)] for d, y in enumerate(docs)}
+    assert want[1][0] == 0
+    rows = spark.createDataFrame([(d, " ".join(y)) for d, y in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    for block_words in (1, 1_000_000):
+        got = {r.doc_id: sorted(x.item_id for x in r.found) for r in tiling.contaminations(rows, bench, block_words=block_words).collect()}
+        assert got == want
+
+
 # ---- the pipeline ----------------------------------------------------------------------------------------------------
 
 
