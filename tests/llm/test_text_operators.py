@@ -125,6 +125,28 @@ def test_passages_cover_every_exact_repeat(odd):
     assert all(r.similarity >= 0.8 and len(r.passage.split()) == r.n_words for r in found)
 
 
+def edited(rng, words, every):
+    out = words.copy()
+    for i in range(rng.randrange(every), len(out), every):
+        out[i] = "".join(rng.choice("klmnop") for _ in range(9))
+    return out
+
+
+def test_passages_of_edited_copies_and_around_a_frequent_phrase(spark):
+    """Copies that are like the original but not like each other, and pairs that meet only in groups of a frequent phrase."""
+    rng = random.Random(8)
+    base = sentence(rng, 240)
+    rows = [(0, " ".join(base))] + [(i, " ".join(edited(rng, base, 48))) for i in range(1, 41)]
+    phrase = sentence(rng, 5)
+    for k in range(60):
+        passage = sentence(rng, 24) + phrase + sentence(rng, 21)
+        rows += [(100 + 2 * k + j, " ".join(sentence(rng, 30) + passage + sentence(rng, 30))) for j in (0, 1)]
+    rows += [(300 + k, " ".join(sentence(rng, 60) + phrase + sentence(rng, 60))) for k in range(60)]
+    found = compactwindows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == set(range(41)) | set(range(100, 220))
+    assert all(abs(r.doc_id - r.rep_doc_id) <= 1 for r in found if r.doc_id >= 100)
+
+
 def test_fingerprints_are_homomorphic():
     m = multisethash
     a, b, c = b"first paragraph here", b"second one", b"third \xc3\xa9"
