@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but space and \x09-\x0D.
@@ -15,11 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tessera.shared.dir", None)
+    """The folder that every executor sees: ``spark.checkpoint.dir``. In local mode, where driver and executors are one
+    process, an unset one becomes a folder of the warehouse; on a cluster that is an error."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("tessera.shared.dir", folder)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoint"
     return folder.rstrip("/")
 
 
@@ -40,6 +42,25 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot where it has more than this share of all rows, so there are at most 1 / HOT hot keys, whatever the input.
+HOT, SALTS = 0.001, 64
+
+
+def hot_join(rows: DataFrame, counts: DataFrame, key: str, n: str, salt: Column) -> DataFrame:
+    """``rows`` whose key is in ``counts`` (key, n: rows of that key). The rows of hot keys are dealt over ``SALTS`` partitions
+    by ``salt``; the hot keys are broadcast, and they are no more than 1 / HOT."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    hot = [r[0] for r in counts.filter(F.col(n) > max(10_000, int(total * HOT))).select(key).collect()]
+    if not hot:
+        return rows.join(counts.select(key), key)
+    known = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in hot], f"{key} long").withColumn("__hot", F.lit(True)))
+    dealt = F.when(F.col("__hot"), F.pmod(F.xxhash64(salt), F.lit(SALTS))).otherwise(0)
+    every = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    left = rows.join(known, key, "left").withColumn("__salt", dealt.cast("int")).drop("__hot")
+    right = counts.select(key).join(known, key, "left").select(key, every.alias("__salt"))
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def fits(df: DataFrame, limit_bytes: int) -> bool:
     """Whether Catalyst's size estimate of a table is within a limit (decides for a broadcast)."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
