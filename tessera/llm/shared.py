@@ -46,19 +46,22 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 HOT, SALTS = 0.001, 64
 
 
-def hot_join(rows: DataFrame, counts: DataFrame, key: str, n: str, salt: Column) -> DataFrame:
-    """``rows`` whose key is in ``counts`` (key, n: rows of that key). The rows of hot keys are dealt over ``SALTS`` partitions
-    by ``salt``; the hot keys are broadcast, and they are no more than 1 / HOT."""
+def hot_join(rows: DataFrame, counts: DataFrame, key: str, n: str, salt: Column, distinct: bool = False) -> DataFrame:
+    """``rows`` joined by a long ``key`` with ``counts``, which has one row for each key and in ``n`` how many rows have it.
+    The rows of hot keys are dealt over ``SALTS`` tasks by ``salt``; the hot keys are broadcast, they are no more than
+    1 / HOT. With ``distinct``, repeated rows of ``rows`` are dropped where they meet."""
     total = counts.agg(F.sum(n)).first()[0] or 0
     hot = [r[0] for r in counts.filter(F.col(n) > max(10_000, int(total * HOT))).select(key).collect()]
     if not hot:
-        return rows.join(counts.select(key), key)
+        out = rows.join(counts, key)
+        return out.dropDuplicates(rows.columns) if distinct else out
     known = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in hot], f"{key} long").withColumn("__hot", F.lit(True)))
     dealt = F.when(F.col("__hot"), F.pmod(F.xxhash64(salt), F.lit(SALTS))).otherwise(0)
     every = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     left = rows.join(known, key, "left").withColumn("__salt", dealt.cast("int")).drop("__hot")
-    right = counts.select(key).join(known, key, "left").select(key, every.alias("__salt"))
-    return left.join(right, [key, "__salt"]).drop("__salt")
+    right = counts.join(known, key, "left").withColumn("__salt", every).drop("__hot")
+    out = left.join(right, [key, "__salt"])
+    return (out.dropDuplicates([*rows.columns, "__salt"]) if distinct else out).drop("__salt")
 
 
 def fits(df: DataFrame, limit_bytes: int) -> bool:

@@ -147,6 +147,47 @@ def test_passages_of_edited_copies_and_around_a_frequent_phrase(spark):
     assert all(abs(r.doc_id - r.rep_doc_id) <= 1 for r in found if r.doc_id >= 100)
 
 
+@pytest.mark.parametrize("quoted", [5, 14])
+def test_passages_whose_pieces_are_quoted_elsewhere(spark, quoted):
+    """Every piece of the passage's words is quoted alone by a dozen other documents."""
+    rng = random.Random(12)
+    passage = sentence(rng, 60)
+    rows = [(i, " ".join(sentence(rng, 40) + passage + sentence(rng, 40))) for i in (0, 1)]
+    for k in range(len(passage) - quoted + 1):
+        rows += [(len(rows) + j, " ".join(sentence(rng, 35) + passage[k : k + quoted] + sentence(rng, 35))) for j in range(12)]
+    found = compactwindows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {0, 1}
+    assert all(r.start_word <= 40 and r.start_word + r.n_words >= 100 for r in found)
+
+
+def test_recall_of_edited_passages_around_hot_phrases(spark):
+    """Pairs of passages of 60 words with 1 to 2 changed words, all around one phrase that 300 documents have."""
+    rng = random.Random(13)
+    phrase = sentence(rng, 12)
+    rows, wanted = [], set()
+    for k in range(150):
+        passage = sentence(rng, 25) + phrase + sentence(rng, 25)
+        other = edited(rng, passage, 40)
+        pair = [" ".join(sentence(rng, 30) + x + sentence(rng, 30)) for x in (passage, other)]
+        rows += [(2 * k + j, x) for j, x in enumerate(pair)]
+        a, b = (tokens_of(" ".join(x)) for x in (passage, other))
+        if any(jaccard(a[i : i + 46], b[i : i + 46]) >= 0.8 for i in range(len(a) - 45)):
+            wanted |= {2 * k, 2 * k + 1}
+    found = compactwindows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    have = {r.doc_id for r in found}
+    assert len(wanted) > 100 and len(have & wanted) >= 0.95 * len(wanted)
+    assert all(r.doc_id // 2 == r.rep_doc_id // 2 for r in found)
+
+
+def tokens_of(text):
+    w = text.split()
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+
+def jaccard(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b))
+
+
 def test_fingerprints_are_homomorphic():
     m = multisethash
     a, b, c = b"first paragraph here", b"second one", b"third \xc3\xa9"
