@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import U, mix, powers, prefix, range_hash, sliding_min
-from .shared import hot_join, row_blocks, row_key, stash, text_bytes
+from .shared import discard, hot_join, row_blocks, row_key, stash, text_bytes
 
 ANCHOR = 64
 STEP = 8
@@ -329,7 +329,9 @@ def repeated_strings(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     base = row_key(docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")), id_col, "__text").select("k1", "k2", F.col("__text").alias("text"))
     twice = base.mapInArrow(_segment_rows(length, True), "v long, m int").groupBy("v").agg(F.sum("m").alias("n")).filter("n > 1")
     segs = base.mapInArrow(_segment_rows(length, False), "k1 long, k2 long, s int, c int, v long, h long, m int")
-    cand = stash(hot_join(segs, stash(twice, "anchors"), "v", "n", F.col("k1")).drop("n"), "segments")
+    twice = stash(twice, "anchors")
+    cand = stash(hot_join(segs, twice, "v", "n", F.col("k1")).drop("n"), "segments")
+    discard(twice)
     kinds = cand.groupBy("v", "c", "h").agg(F.sum("m").alias("times"), F.max("k1").alias("k1"), F.max_by("k2", "k1").alias("k2"), F.max_by("s", "k1").alias("s"))
     forms = kinds.groupBy("v").agg(F.count("*").alias("forms"))
     kinds = stash(kinds.join(forms, "v"), "forms")
