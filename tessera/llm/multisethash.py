@@ -4,8 +4,8 @@ Every paragraph (a maximal run without line feeds) is hashed to a wide vector, a
 vectors, lane by lane, modulo powers of two. A sum does not depend on the order of the paragraphs, and inserting or deleting
 one is adding or subtracting its vector (:func:`combine`). The vector has two parts:
 
-* 16 lanes modulo 2^64, pseudo-random in the whole paragraph: equal sums mean equal multisets of paragraphs;
-* 128 lanes modulo 2^16 that sum +1 or -1 for each run of three words of the paragraph, weighted likewise: the inner
+* 16 lanes modulo 2^64, pseudo-random in the BLAKE2 digest of the whole paragraph: equal sums mean equal multisets of paragraphs;
+* 128 lanes modulo 2^32 that sum +1 or -1 for each run of three words of the paragraph, weighted likewise: the inner
   product of two such sums estimates how many word runs two documents have in common, whatever the order.
 
 ``likeness`` is 1 for equal fingerprints, else twice the inner product over the sum of the squared lengths, held in [0, 1).
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U, mix, prefix, range_hash, words
+from .kernels import U, mix, words
 
 WIDE, NEAR = 16, 128
 _SALT = mix(np.arange(1, WIDE + 1, dtype=U) * U(0x9E3779B97F4A7C15))
@@ -43,9 +43,9 @@ def paragraphs(text: bytes) -> Vector:
         return zero()
     data = np.frombuffer(text, np.uint8)
     cut = np.flatnonzero(data == 10)
-    start, end = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(data)]])
-    h = range_hash(prefix(data), start, end) ^ range_hash(prefix(data, 1), start, end, 1) * U(0xD6E8FEB86659FD93)
-    wide = mix(h[:, None] + _SALT[None, :]).sum(axis=0, dtype=U)
+    start = np.concatenate([[0], cut + 1])
+    h = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in text.split(b"\n")), "<u8").reshape(-1, 2)
+    wide = mix(mix(h[:, :1] + _SALT[None, :]) ^ h[:, 1:]).sum(axis=0, dtype=U)
     wh, off, _ = words(data, np.concatenate([start, [len(data) + 1]]).clip(max=len(data)), lower=False)
     n = np.diff(off)
     # runs of three words inside a paragraph; a shorter paragraph is one run
@@ -70,13 +70,13 @@ def combine(a: Vector, b: Vector, sign: int = 1) -> Vector:
 
 
 def pack(v: Vector) -> bytes:
-    return v[0].astype("<u8").tobytes() + (v[1] & 0xFFFF).astype("<u2").tobytes()
+    return v[0].astype("<u8").tobytes() + (v[1] & 0xFFFFFFFF).astype("<u4").tobytes()
 
 
 def likeness(a: bytes, b: bytes) -> float:
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(s, "<i2", offset=8 * WIDE).astype(float) for s in (a, b))
+    x, y = (np.frombuffer(s, "<i4", offset=8 * WIDE).astype(float) for s in (a, b))
     total = float(x @ x + y @ y)
     return float(min(max(2 * float(x @ y) / total, 0.0), 1 - 2.0**-30)) if total else 0.0
 

@@ -4,13 +4,15 @@ Sources weigh 3, 1, 2, 3, ... in code point order (null last) and share ``share`
 ``cap`` times its source's words; the excess is shared again by weight, which has a closed form: with sources ordered by
 cap per weight, the level is the first (total - caps before) / (weights from here on) that the source at hand can bear.
 
-Within a source each document gets floor(target / words) certain whole copies. For the rest, its inclusion odds are
-lambda / (1 - lambda) and its rank is u / (1 - u) divided by those odds, u being a uniform number hashed from the row. The
-sample has a fixed size in words: documents are taken in rank order as long as they fit, then the one whose size comes
-nearest to what is missing.
+Within a source each document gets floor(target / words) certain whole copies. The rest of the target is a sample with
+unequal probabilities: a document that fits into the rest at all is included with probability lambda in proportion to its
+size, so that the expected words are the rest, and with certainty where that is one or more. Its rank is u / (1 - u) divided by its
+odds lambda / (1 - lambda), u being a uniform number hashed from the row. Documents are taken in the order of their ranks
+as long as they fit; those behind the first that does not fit are tried again for the gap that is left, if they are no
+larger than it, ``ROUNDS`` times in all. Last comes the one document whose size is nearest to the gap, if it lessens it.
 
 No group is gathered in one task: ranks are cut into 65,536 bins, bins are summed with partial aggregation, and only the
-rows of the bin where the sample ends are ordered row by row.
+rows of the bin where a round ends are ordered row by row. A round leaves one number for each source, its last rank.
 
 Defined results: a null text has size 0; null ids and sources are allowed (null is a source, the last one); rows that are
 equal in id, source and text share a rank and are taken one by one; a source without words gets target 0; an empty table
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .shared import WORD, stash
 
-BINS = 1 << 16
+BINS, ROUNDS = 1 << 16, 4
 #: Source tables up to this many rows are broadcast; larger ones are joined by key.
 BROADCAST_SOURCES = 10_000
 
@@ -50,39 +52,65 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, cap:
     return each.select("source", "source_size", target.alias("target"))
 
 
+def _gap_of(known: DataFrame, rounds: int) -> DataFrame:
+    """``known`` with ``gap`` and ``got`` after so many rounds."""
+    got = F.lit(False)
+    for k in range(rounds):
+        got = got | (~got & (F.col("size") > 0) & (F.col("size") <= F.col(f"gap{k}")) & (F.col(f"all{k}") | (F.struct("place", "u", "nth") <= F.col(f"last{k}"))))
+    return known.withColumn("got", got)
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] | None = None) -> DataFrame:
-    """The columns of ``carry`` (default: the id and the source) and size, source_size, target, copies, taken."""
-    carry = [id_col, source_col] if carry is None else list(carry)
+    """The columns of ``carry`` (default: the id and the source) and size, source_size, target, copies, taken. A carried
+    column of one of these names is left out."""
+    made = ("size", "source_size", "target", "copies", "taken")
+    carry = [c for c in ([id_col, source_col] if carry is None else carry) if c not in made]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(source_col).cast("string"), F.lit("null")), F.md5(text))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), uniform(key, seed).alias("u"))
-    rows = stash(rows.withColumn("bin", F.floor(F.col("u") * BINS).cast("int")), "sizes")
+    rows = stash(rows.withColumn("nth", F.monotonically_increasing_id()), "sizes")
 
     sources = stash(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "sources")
     small = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    of_source = lambda df, side: df.join(F.broadcast(side) if small else side, df["source"].eqNullSafe(side["source"])).drop(side["source"])
+
+    def of_source(df: DataFrame, side: DataFrame) -> DataFrame:
+        side = side.withColumnRenamed("source", "__of")
+        return df.join(F.broadcast(side) if small else side, F.col("source").eqNullSafe(F.col("__of")), "left").drop("__of")
 
     expected = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    plan = sources.withColumn("whole", F.floor(expected).cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    # rank = u / (1 - u) / odds rises with u, as the odds are those of the source; bins of u are bins of the rank
-    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
+    plan = sources.withColumn("whole", F.floor(expected).cast("long")).withColumn("gap0", F.col("target") - F.col("whole") * F.col("source_size"))
+    fit = of_source(rows.select("source", "size"), plan.select("source", "gap0")).filter("size > 0 and size <= gap0")
+    squares = fit.groupBy("source").agg(F.sum((F.col("size") * F.col("size")).cast("decimal(38,0)")).cast("double").alias("squares"))
+    plan = stash(of_source(plan, squares), "plan")
+
+    # lambda sums to the rest over the sizes of all that fit
+    chance = F.least(F.coalesce(F.try_divide(F.col("gap0") * F.col("size"), "squares"), F.lit(0.0)), F.lit(1.0))
+    odds = F.try_divide(chance, 1 - chance)
+    rank = F.when(chance >= 1, 0.0).otherwise(F.try_divide(F.col("u") / (1 - F.col("u")), odds))
+    ranked = of_source(rows, plan.select("source", "gap0", "squares")).withColumn("rank", rank).withColumn("place", F.coalesce(F.col("rank") / (1 + F.col("rank")), F.lit(1.0)))
+    ranked = stash(ranked.select("row", "source", "size", "u", "nth", "place", F.floor(F.col("place") * BINS).cast("int").alias("bin")), "ranked")
+
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = of_source(bins.withColumn("upto", F.sum("words").over(upto)), plan.select("source", "rest")).filter("upto > rest")
-    edge = bins.groupBy("source").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("before")), "bin").alias("edge"))
-    plan = plan.join(edge.withColumnRenamed("source", "s2"), plan["source"].eqNullSafe(F.col("s2")), "left").drop("s2")
-    plan = stash(plan, "plan")
-
-    placed = of_source(rows, plan)
-    last = placed.filter("bin = edge.bin")
-    inside = last.withColumn("upto", F.col("edge.before") + F.sum("size").over(Window.partitionBy("source").orderBy("u").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    inside = inside.withColumn("sampled", F.col("upto") <= F.col("rest"))
-    outside = placed.filter("edge is null or bin <> edge.bin").withColumn("upto", F.lit(None).cast("double")).withColumn("sampled", F.col("edge").isNull() | (F.col("bin") < F.col("edge.bin")))
-    drawn = stash(inside.unionByName(outside).withColumn("nth", F.monotonically_increasing_id()), "drawn")
-
-    got = drawn.groupBy("source").agg(F.sum(F.when(F.col("sampled"), F.col("size")).otherwise(0)).alias("got"))
-    missing = of_source(drawn.filter("not sampled and size > 0"), got).withColumn("gap", F.col("rest") - F.col("got"))
-    near = missing.filter("abs(size - gap) < gap").groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), F.col("u"), F.col("nth"))).alias("pick"))
-    close = near.select(F.col("pick.nth").alias("nth"), F.lit(True).alias("closing"))
-    out = drawn.join(F.broadcast(close) if small else close, "nth", "left")
-    copies = F.col("whole") + (F.col("sampled") & (F.col("size") > 0) | F.coalesce("closing", F.lit(False))).cast("long")
+    within = Window.partitionBy("source").orderBy("place", "u", "nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for k in range(ROUNDS):
+        gap = f"gap{k}"
+        live = _gap_of(of_source(ranked.drop("row"), plan), k).filter(~F.col("got") & (F.col("size") > 0) & (F.col("size") <= F.col(gap))).select("source", "size", "u", "nth", "place", "bin", gap)
+        bins = live.groupBy("source", "bin", gap).agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(upto))
+        edge = bins.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col(gap), F.col("bin"))).alias("edge"), F.sum("words").alias("words"))
+        before = of_source(bins, edge.select("source", "edge")).filter("edge is not null and bin < edge").groupBy("source").agg(F.sum("words").alias("before"))
+        edge = stash(of_source(edge, before).select("source", "edge", "words", F.coalesce("before", F.lit(0)).alias("before")), "edges")
+        inside = of_source(live, edge).filter("bin = edge").withColumn("upto", F.col("before") + F.sum("size").over(within)).filter(F.col("upto") <= F.col(gap))
+        last = inside.groupBy("source").agg(F.max(F.struct("place", "u", "nth")).alias("inner"), F.max("upto").alias("filled"))
+        # where the edge bin has nothing that fits, the round ends before that bin
+        ends = of_source(of_source(plan, edge), last)
+        none = F.struct((F.col("edge") / F.lit(float(BINS))).alias("place"), F.lit(-1.0).alias("u"), F.lit(-1).cast("long").alias("nth"))
+        taken = F.when(F.col("edge").isNull(), F.coalesce("words", F.lit(0))).otherwise(F.coalesce("filled", "before"))
+        ends = ends.withColumns({f"all{k}": F.col("edge").isNull(), f"last{k}": F.coalesce("inner", none), f"gap{k + 1}": F.col(gap) - taken}).drop("edge", "words", "before", "inner", "filled")
+        plan = stash(ends, "plan")
+
+    final = f"gap{ROUNDS}"
+    drawn = _gap_of(of_source(ranked, plan), ROUNDS)
+    near = drawn.filter(~F.col("got") & (F.col("size") > 0) & (F.abs(F.col("size") - F.col(final)) < F.col(final))).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col(final)), F.col("u"), F.col("nth"))).alias("pick"))
+    out = of_source(drawn, near.select("source", F.col("pick.nth").alias("closing")))
+    copies = F.col("whole") + (F.col("got") | F.coalesce(F.col("nth") == F.col("closing"), F.lit(False))).cast("long")
     return out.select("row.*", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

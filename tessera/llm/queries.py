@@ -12,7 +12,7 @@ from .bwtmerge import remove_repeats
 from .compactwindows import passages
 from .licence_texts import NOTICES, TEXTS
 from .multisethash import edited_copies
-from .pareto import mix_sources
+from .pareto import ROUNDS, mix_sources
 from .shared import WORD
 from .sitetree import extract
 from .superminhash import near_duplicates
@@ -113,6 +113,14 @@ SELECT w.doc_id, sha256(whole) AS canonical_sha256, CAST(length(whole) AS BIGINT
 FROM w LEFT JOIN known ON sha256(whole) = known.digest LEFT JOIN named ON named.doc_id IS NOT DISTINCT FROM w.doc_id AND named.lines = w.lines
 """
 
+#: A round takes what fits in the order of the ranks, of those that are no larger than the gap.
+_OP8_ROUNDS = "\n".join(
+    f"""h{k} AS (SELECT *, NOT got AND size > 0 AND size <= gap AS live FROM g{k - 1}),
+i{k} AS (SELECT *, live AND sum(CASE WHEN live THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY place, u, nth ROWS UNBOUNDED PRECEDING) <= gap AS hit FROM h{k}),
+g{k} AS (SELECT * EXCLUDE (live, hit) REPLACE (got OR hit AS got, gap - coalesce(sum(size) FILTER (hit) OVER (PARTITION BY source), 0) AS gap) FROM i{k}),"""
+    for k in range(1, ROUNDS + 1)
+)
+
 OP8_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
@@ -128,14 +136,15 @@ f AS (SELECT arg_min(level, nth) AS level FROM l WHERE level * w <= 2.0 * source
 t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce((SELECT level FROM f) * w, 2.0::DOUBLE * source_size)) AS target FROM l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 r AS (SELECT *, target - whole * source_size AS rest FROM p),
-c AS (SELECT d.doc_id, d.source, d.size, d.u, r.source_size, r.target, r.whole, r.rest,
-        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u ROWS UNBOUNDED PRECEDING) AS upto,
-        row_number() OVER (PARTITION BY d.source ORDER BY d.u) AS nth
-      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-g AS (SELECT *, rest - coalesce(sum(size) FILTER (upto <= rest) OVER (PARTITION BY source), 0) AS gap FROM c),
-n AS (SELECT source, arg_min(nth, {{'a': abs(size - gap), 'b': u, 'c': nth}}) AS pick FROM g WHERE upto > rest AND size > 0 AND abs(size - gap) < gap GROUP BY source)
-SELECT doc_id, size, source_size, target, (whole + CASE WHEN (upto <= rest AND size > 0) OR coalesce(nth = pick, FALSE) THEN 1 ELSE 0 END) * size AS taken
-FROM g LEFT JOIN n ON g.source IS NOT DISTINCT FROM n.source
+q AS (SELECT d.source, sum(d.size::HUGEINT * d.size)::DOUBLE AS squares FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source WHERE d.size > 0 AND d.size <= r.rest GROUP BY d.source),
+m AS (SELECT d.*, r.source_size, r.target, r.whole, r.rest, least(coalesce(r.rest * d.size / q.squares, 0.0::DOUBLE), 1.0::DOUBLE) AS chance
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+k AS (SELECT *, CASE WHEN chance >= 1 THEN 0.0::DOUBLE WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS rank FROM m),
+g0 AS (SELECT * EXCLUDE (rank), coalesce(rank / (1 + rank), 1.0::DOUBLE) AS place, row_number() OVER () AS nth, rest AS gap, FALSE AS got FROM k),
+{_OP8_ROUNDS}
+n AS (SELECT source, arg_min(nth, {{'a': abs(size - gap), 'b': u, 'c': nth}}) AS pick FROM g{ROUNDS} WHERE NOT got AND size > 0 AND abs(size - gap) < gap GROUP BY source)
+SELECT doc_id, size, source_size, target, (whole + CASE WHEN got OR coalesce(nth = pick, FALSE) THEN 1 ELSE 0 END) * size AS taken
+FROM g{ROUNDS} AS g LEFT JOIN n ON g.source IS NOT DISTINCT FROM n.source
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

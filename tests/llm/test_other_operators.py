@@ -119,6 +119,24 @@ def test_mixing_comes_near_its_targets(spark):
     assert pareto.mix_sources(docs.filter("false")).collect() == []
 
 
+def test_mixing_with_one_very_long_document(spark):
+    rows = [(i, "w " * 100, "a", "taken") for i in range(100)] + [(100, "w " * 20_000, "a", "x"), (101, "w " * 26_000, "b", "x")]
+    got = pareto.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, size string"), weights=(13, 15), carry=["doc_id", "size"]).collect()
+    assert got[0].__fields__ == ["doc_id", "size", "source_size", "target", "copies", "taken"]
+    # of 84,000 words a gets 39,000: all once, and of the rest of 9,000 nothing for the long one; b is nearer to 45,000 with two copies
+    taken = {s: sum(r.taken for r in got if r.source_size == s) for s in (30_000, 26_000)}
+    assert taken == {30_000: 39_000, 26_000: 52_000}
+
+
+def test_long_documents_have_better_ranks(spark):
+    rows = [(i, "w " * (10 if i % 2 else 90), "a") for i in range(4000)] + [(5000, "w " * 200_000, "b")]
+    got = pareto.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.3, weights=(1, 1)).collect()
+    share = lambda size: sum(r.copies for r in got if r.size == size) / 2000
+    target = next(r.target for r in got if r.size == 10)
+    chance = [target * x / (2000 * (10**2 + 90**2)) for x in (10, 90)]
+    assert abs(share(10) - chance[0]) < 0.04 and abs(share(90) - min(chance[1], 1)) < 0.04
+
+
 # ---- tiling ----------------------------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessera.llm import bwtmerge, compactwindows, multisethash, superminhash
+from tessera.llm import bwtmerge, compactwindows, kernels, multisethash, superminhash
 from tessera.llm.components import components
 
 DOCS = "doc_id long, text string, k1 string, source string"
@@ -198,6 +198,34 @@ def test_fingerprints_are_homomorphic():
     assert m.pack(whole) != m.pack(m.paragraphs(b"\n".join([a, a, c])))
 
 
+def test_words_and_paragraphs_that_collide_under_polynomials():
+    """Thue-Morse words have equal polynomial hashes modulo 2^64 under every base."""
+    for size in (64, 1024, 2048, 4096):
+        a = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+        b = a.translate(str.maketrans("ab", "ba"))
+        assert multisethash.pack(multisethash.paragraphs(a.encode())) != multisethash.pack(multisethash.paragraphs(b.encode()))
+        data = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+        h = kernels.words(data, np.array([0, len(data)]))[0]
+        assert len(h) == 2 and h[0] != h[1]
+    texts = [f"w{i}" + "x" * (i % 90) for i in range(3000)]
+    data = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    assert len(np.unique(kernels.words(data, np.array([0, len(data)]))[0])) == 3000
+
+
+def test_likeness_estimates_shared_runs_of_words():
+    rng = random.Random(4)
+    base = sentence(rng, 600)
+    for keep in (600, 450, 300, 0):
+        other = base[:keep] + sentence(rng, 600 - keep)
+        runs = [Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2)) for w in (base, other)]
+        inner = sum(n * runs[1][k] for k, n in runs[0].items())
+        want = 2 * inner / sum(n * n for r in runs for n in r.values())
+        a, b = (multisethash.pack(multisethash.paragraphs(" ".join(w).encode())) for w in (base, other))
+        assert abs(multisethash.likeness(a, b) - want) < 0.2
+    many = multisethash.pack(multisethash.paragraphs(b"it " * 200_000))
+    assert multisethash.likeness(many, multisethash.pack(multisethash.paragraphs(b"it " * 199_000))) > 0.99
+
+
 def test_edited_copies(odd):
     docs, rows = odd
     got = multisethash.edited_copies(docs, bins=5).collect()
