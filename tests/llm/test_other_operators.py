@@ -166,13 +166,20 @@ def test_tiles_match_brute_force():
         assert sum(t[2] for t in tiling.tiles(a, b, 3)) == brute_tiles(a.tolist(), b.tolist(), min(3, len(a)))
 
 
+def test_tiles_of_a_word_that_goes_on_repeating():
+    item, doc = np.zeros(200, np.uint64), np.zeros(8000, np.uint64)
+    assert tiling.tiles(item, doc) == [(0, 0, 200)]
+    item[100] = 7
+    assert sum(t[2] for t in tiling.tiles(item, doc)) == 199
+
+
 def test_contaminations(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     moved = "x kappa lambda mu y Zeta eta theta iota z ALPHA beta gamma delta epsilon w"
     docs = spark.createDataFrame([(1, f"before {item} after", 0), (2, moved, 0), (3, "alpha beta gamma delta epsilon only", 0), (4, None, 0), (None, "", 0), (5, "tiny item", 0)], "doc_id long, text string, found int")
     items = spark.createDataFrame([(7, item), (8, "tiny item"), (9, None), (10, "")], "item_id long, text string")
-    for block_words in (1, 1_000_000):
-        got = {r.doc_id: sorted(x.item_id for x in r.found) for r in tiling.contaminations(docs, items, block_words=block_words).collect()}
+    for filter_seeds in (0, 1_000_000):
+        got = {r.doc_id: sorted(x.item_id for x in r.found) for r in tiling.contaminations(docs, items, filter_seeds=filter_seeds).collect()}
         assert got == {1: [7], 2: [7], 3: [], 4: [], None: [], 5: [8]}
     assert all(r.found == [] for r in tiling.contaminations(docs, items.filter("false")).collect())
 
@@ -192,8 +199,8 @@ def test_contaminations_match_brute_force_without_seeds(spark):
     assert want[1][0] == 0
     rows = spark.createDataFrame([(d, " ".join(y)) for d, y in enumerate(docs)], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
-    for block_words in (1, 1_000_000):
-        got = {r.doc_id: sorted(x.item_id for x in r.found) for r in tiling.contaminations(rows, bench, block_words=block_words).collect()}
+    for filter_seeds in (0, 1_000_000):
+        got = {r.doc_id: sorted(x.item_id for x in r.found) for r in tiling.contaminations(rows, bench, filter_seeds=filter_seeds).collect()}
         assert got == want
 
 
