@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import U, mix, powers, prefix, range_hash, sliding_min
-from .shared import discard, hot_join, row_blocks, row_key, stash, text_bytes
+from .shared import discard, hot_join, row_blocks, row_key, stash, text_bytes, trimmed
 
 ANCHOR = 64
 STEP = 8
@@ -311,11 +311,11 @@ def _window_runs(contents: DataFrame, free: int, most_forms: int | None) -> Data
     alone = met.filter("forms = 1").select(*key, "a", "b", whole.alias("runs"))
     few = met.filter("forms > 1") if most_forms is None else met.filter(F.col("forms").between(2, most_forms))
     few = few.select(*key, "a", "b", "times").repartition(*key).sortWithinPartitions(*key)
-    found = alone.unionByName(few.mapInArrow(_merge_rows(free), schema))
+    found = alone.unionByName(few.mapInArrow(trimmed(_merge_rows(free)), schema))
     hot = met.filter(F.lit(False) if most_forms is None else F.col("forms") > most_forms).select(*key, "a", "b", "times")
     if most_forms is None or hot.isEmpty():
         return found
-    finer = stash(hot.mapInArrow(_dealt_again(free), "v long, u long, a binary, b binary, times long, pv long, pu long, pa binary, pb binary, first int"), "finer")
+    finer = stash(hot.mapInArrow(trimmed(_dealt_again(free)), "v long, u long, a binary, b binary, times long, pv long, pu long, pa binary, pb binary, first int"), "finer")
     runs = _window_runs(finer.groupBy(*key, "a", "b").agg(F.sum("times").alias("times")), 1, None)
     back = finer.join(runs, [*key, "a", "b"]).select(F.col("pv").alias("v"), F.col("pu").alias("u"), F.col("pa").alias("a"), F.col("pb").alias("b"), F.transform("runs", lambda r: r + F.col("first")).alias("runs"))
     return found.unionByName(back)
@@ -327,8 +327,8 @@ def repeated_strings(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     if free < 1 or length > 1 << 15:
         raise ValueError(f"length must be over {ANCHOR + 1} and at most {1 << 15}")
     base = row_key(docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")), id_col, "__text").select("k1", "k2", F.col("__text").alias("text"))
-    twice = base.mapInArrow(_segment_rows(length, True), "v long, m int").groupBy("v").agg(F.sum("m").alias("n")).filter("n > 1")
-    segs = base.mapInArrow(_segment_rows(length, False), "k1 long, k2 long, s int, c int, v long, h long, m int")
+    twice = base.mapInArrow(trimmed(_segment_rows(length, True)), "v long, m int").groupBy("v").agg(F.sum("m").alias("n")).filter("n > 1")
+    segs = base.mapInArrow(trimmed(_segment_rows(length, False)), "k1 long, k2 long, s int, c int, v long, h long, m int")
     twice = stash(twice, "anchors")
     cand = stash(hot_join(segs, twice, "v", "n", F.col("k1")).drop("n"), "segments")
     discard(twice)
@@ -339,7 +339,7 @@ def repeated_strings(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     windows = F.col("c").bitwiseAND(0xFFFF)
     whole = kinds.filter("times > 1").select("v", "c", "h", F.array(F.lit(0), windows).alias("runs"))
     wanted = kinds.filter("forms > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("v", "c", "h", "times", "s")).alias("w"))
-    parts = base.join(wanted, ["k1", "k2"]).select("text", "w").mapInArrow(_dealt_forms(length, free), "u long, a binary, b binary, v long, c int, h long, times long, first int")
+    parts = base.join(wanted, ["k1", "k2"]).select("text", "w").mapInArrow(trimmed(_dealt_forms(length, free)), "u long, a binary, b binary, v long, c int, h long, times long, first int")
     parts = stash(parts, "parts")
     runs = _window_runs(parts.groupBy("v", "u", "a", "b").agg(F.sum("times").alias("times")), free, most_forms)
     part = parts.filter("times = 1").join(runs, ["v", "u", "a", "b"]).select("v", "c", "h", F.transform("runs", lambda r: r + F.col("first")).alias("runs"))
@@ -377,6 +377,6 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string())], ["row", "text", "spans", "kept", "left"])
 
     span_type = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
-    out = both.mapInArrow(apply, T.StructType([*both.drop("found").schema]).add("spans", span_type).add("kept", "binary").add("left", "string"))
+    out = both.mapInArrow(trimmed(apply), T.StructType([*both.drop("found").schema]).add("spans", span_type).add("kept", "binary").add("left", "string"))
     cols = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
     return out.select(*cols, F.octet_length("text").cast("long").alias("n_bytes"), "spans", "kept", "left")

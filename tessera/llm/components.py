@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import discard, stash, trimmed
 
 
 def _local_union_find(batches):
@@ -45,9 +45,13 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(node, component) for every node that has an edge. Self loops and null ends are ignored; an empty edge table gives
     an empty result."""
     e = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u is not null and v is not null and u <> v")
-    e = stash(e.mapInArrow(_local_union_find, "u long, v long").distinct(), "edges")
-    seen = None
+    e = stash(e.mapInArrow(trimmed(_local_union_find), "u long, v long").distinct(), "edges")
     while True:
+        # a forest of stars: each node has one parent, and no parent has one
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+        many = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up > 0 and down > 0")
+        if many.isEmpty():
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -55,10 +59,7 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = stash(small, "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
+        old, e = e, stash(small, "edges")
+        discard(old)
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -32,7 +32,9 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
             out[0] = 1
             return np.cumprod(out, dtype=U)
 
-        have = _powers[which] = (run(base), run(pow(base, -1, 1 << 64)))
+        have = (run(base), run(pow(base, -1, 1 << 64)))
+        if size <= 1 << 21:  # tables for very long texts are not kept
+            _powers[which] = have
     return have[0][:n], have[1][:n]
 
 

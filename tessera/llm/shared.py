@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import uuid
 
@@ -73,6 +75,18 @@ def hot_join(rows: DataFrame, counts: DataFrame, key: str, n: str, salt: Column,
     return (out.dropDuplicates([*rows.columns, "__salt"]) if distinct else out).drop("__salt")
 
 
+def trimmed(run):
+    """``run`` as it is; its memory goes back to the system at the end of a partition, as idle workers stay for a while."""
+
+    def go(it):
+        yield from run(it)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return go
+
+
 def fits(df: DataFrame, limit_bytes: int) -> bool:
     """Whether Catalyst's size estimate of a table is within a limit (decides for a broadcast)."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

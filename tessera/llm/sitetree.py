@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fits, stash
+from .shared import fits, stash, trimmed
 
 GAMMA, THRESHOLD, PAGES = 0.9, 0.15, 10
 SMALL = 16 << 20
@@ -167,7 +167,7 @@ def parsed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 shapes.append([{"path": p, "children": c} for p, c in form])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(blocks, kinds[0]), pa.array(shapes, kinds[1])], ["page_id", "url", "host", "blocks", "shapes"])
 
-    return rows.mapInArrow(run, PARSED)
+    return rows.mapInArrow(trimmed(run), PARSED)
 
 
 def node_importance(parsed: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def node_importance(parsed: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], ["host", "path", "kind", "value"])
 
-    each = parsed.select("host", "blocks", "shapes").mapInArrow(counts, "host string, path string, kind string, value long")
+    each = parsed.select("host", "blocks", "shapes").mapInArrow(trimmed(counts), "host string, path string, kind string, value long")
     times = each.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
     # per node: pages, sum and number of log(n) over texts, entropy terms of its child sequences
     node = times.groupBy("host", "path").agg(
@@ -230,5 +230,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 n_cut.append(len(live) - len(kept))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), pa.array(texts, pa.string()), pa.array(n_cut, pa.int64())], ["page_id", "url", "host", "text", "n_cut"])
 
-    out = both.select("host", "page_id", "url", "blocks", "cut").mapInArrow(run, "page_id long, url string, host string, text string, n_cut long")
+    out = both.select("host", "page_id", "url", "blocks", "cut").mapInArrow(trimmed(run), "page_id long, url string, host string, text string, n_cut long")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import U, mix, shingles, words
-from .shared import row_blocks, row_key, stash, text_bytes
+from .shared import discard, row_blocks, row_key, stash, text_bytes, trimmed
 
 BANDS, ROWS = 21, 3
 SLOTS = BANDS * ROWS
@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
     keyed = base.select("doc_id", "k1", "k2", "text")
     schema = "doc_id long, k1 long, k2 long, n long, d1 long, d2 long, bands array<long>"
-    signed = stash(keyed.mapInArrow(lambda it: (x for b in it for x in _signed(b, q)), schema), "signatures")
+    signed = stash(keyed.mapInArrow(trimmed(lambda it: (x for b in it for x in _signed(b, q))), schema), "signatures")
 
     group = signed.filter("n > 0").groupBy("d1", "d2", "n")
     classes = group.agg(F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "k1", "k2")).alias("row")).select("d1", "d2", "n", "min_id", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2"), F.monotonically_increasing_id().alias("node"))
@@ -119,7 +119,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the pivot of a bucket is the class that meets most others over all its bands: of edited copies, the least edited
     central = member.groupBy("node").agg(F.sum("crowd").alias("met"))
     pivot = member.join(central, "node").groupBy("band").agg(F.max(F.struct("met", "node"))["node"].alias("a"))
-    member = stash(member.drop("crowd").join(pivot, "band"), "buckets")
+    bands, member = member, stash(member.drop("crowd").join(pivot, "band"), "buckets")
+    discard(bands)
 
     wanted = member.select("node").distinct().join(classes.select("node", "k1", "k2"), "node")
     rows = keyed.join(wanted, ["k1", "k2"]).select("node", "text")
@@ -131,7 +132,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 h, so = sets(data[off[i] : off[j]], off[i : j + 1] - off[i], q)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(so.astype(np.int32)), pa.array(h.view(np.int64)))], ["node", "items"])
 
-    full = stash(rows.mapInArrow(fetch, "node long, items array<long>").groupBy("node").agg(F.first("items").alias("items")), "sets")
+    full = stash(rows.mapInArrow(trimmed(fetch), "node long, items array<long>").groupBy("node").agg(F.first("items").alias("items")), "sets")
 
     star = member.select("a", F.col("node").alias("b")).filter("a <> b").distinct()
     links = stash(_confirmed(star, full, num, den), "links")
@@ -149,12 +150,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     length = F.col("n") - F.floor((F.lit(num) * F.col("n") + F.lit(den - 1)) / F.lit(den)) + 1
     front = front.join(once, "node", "left").withColumn("left", F.col("n") - F.col("nth") - F.coalesce("once", F.lit(0)) + 1)
     front = stash(front.filter(F.col("left") > F.col("n") - length).select("node", "n", "c", "few", "item", "left"), "front")
+    discard(item)
     # from their first common shingle on, both sets must have enough shingles left for the overlap that the similarity asks
     enough = F.lit(num + den) * F.least("x.left", "y.left") >= F.lit(num) * (F.col("x.n") + F.col("y.n"))
     x, y = front.filter("few").alias("x"), front.alias("y")
     met = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.c") != F.col("y.c")) & (~F.col("y.few") | (F.col("x.node") < F.col("y.node"))) & enough)
     pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = stash(links.union(_confirmed(pairs, full, num, den)), "links")
+    first, links = links, stash(links.union(_confirmed(pairs, full, num, den)), "links")
+    discard(first, full, front, placed, member)
 
     label = components(links, "a", "b")
     grouped = classes.join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))

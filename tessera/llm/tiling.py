@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import U, mix, powers, range_hash, words
-from .shared import discard, fits, row_blocks, stash, text_bytes
+from .shared import discard, fits, row_blocks, stash, text_bytes, trimmed
 
 LEAST, THRESHOLD = 3, 0.8
 FILTER_SEEDS = 1 << 21
@@ -140,7 +140,7 @@ def _seeds_of_items(items: DataFrame, least: int) -> DataFrame:
                     one = np.ones(len(g), np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), b.column(0).take(pa.array(k * one)), pa.array(len(own) * one), pa.array(q * one), pa.array(np.arange(len(g)))], ["g", "item", "n_words", "q", "place"])
 
-    return items.select("item", "text").mapInArrow(run, "g long, item long, n_words long, q long, place long")
+    return items.select("item", "text").mapInArrow(trimmed(run), "g long, item long, n_words long, q long, place long")
 
 
 def _seeds_of_texts(texts: DataFrame, lengths: list[int], only: np.ndarray | None) -> DataFrame:
@@ -163,7 +163,7 @@ def _seeds_of_texts(texts: DataFrame, lengths: list[int], only: np.ndarray | Non
                     of = pa.array(row[new] + i)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(g[new].view(np.int64))], ["k1", "k2", "g"])
 
-    return texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, g long")
+    return texts.select("k1", "k2", "text").mapInArrow(trimmed(run), "k1 long, k2 long, g long")
 
 
 def _tiled(least: int, keep: float):
@@ -216,7 +216,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     whole = texts.join(F.broadcast(pairs.select("k1", "k2").distinct()) if small else pairs.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     both = whole.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "item_text", "item_id")
     one = T.StructType().add("k1", "long").add("k2", "long").add("found", FOUND.elementType)
-    found = both.mapInArrow(_tiled(least, threshold), one).groupBy("k1", "k2").agg(F.array_sort(F.collect_list("found")).alias("found"))
+    found = both.mapInArrow(trimmed(_tiled(least, threshold)), one).groupBy("k1", "k2").agg(F.array_sort(F.collect_list("found")).alias("found"))
     found = stash(found, "found")
     discard(items, seeds, pairs)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *key)
