@@ -4,12 +4,12 @@
 features are hashed: each distinct lower-cased word of the whole text, and binned shape measures (capitals, marks, word
 length, repetition). Weights are shrunk to zero by an L1 step, so words that say nothing take no part.
 
-The fit reads at most ``bound`` labelled rows, chosen by the hash of their id (a documented parameter: a bounded sample is
-what it takes); scoring reads every row and every word, one Arrow batch at a time.
+The fit reads at most ``bound`` labelled rows, chosen by the hash of their id, and as many texts (a documented parameter: a
+bounded sample is what it takes); scoring reads every row and every word, one Arrow batch at a time.
 
 Defined results: a null text counts as empty and has no features; rows without a label, or whose id is null, are not
 fitted; repeated labels of an id are all used; without any labelled row the probabilities are null, nothing is rejected
-and everything is kept; other columns are left alone.
+and everything is kept; other columns are left alone, but for those named like a result column, which the result replaces.
 """
 
 from __future__ import annotations
@@ -108,8 +108,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, bound: in
             found = [sorted(features(t)) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["grade", "x"])
 
-    # the broadcast side holds at most ``bound`` pairs of numbers
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(run, "grade int, x array<int>").limit(2 * bound).toArrow()
+    # the broadcast side holds at most ``bound`` pairs of numbers; of rows that share an id the same ones are left out each time
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"), F.col("grade")]
+    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(*order).limit(bound).select("grade", "text").mapInArrow(run, "grade int, x array<int>").toArrow()
     order = sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
     return [np.array(x, np.int64) for _, x in order], np.array([g for g, _ in order], np.int64)
 
@@ -129,6 +130,11 @@ def tail_probabilities(model: Ordinal, text: Column) -> Column:
     return score(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def _scored(docs: DataFrame, model: Ordinal, text_col: str, made: dict[str, Column]) -> DataFrame:
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), tail_probabilities(model, F.col(f"`{text_col}`")).alias("tails"))
+    return rows.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in made), *(x.alias(n) for n, x in made.items()))
+
+
 # ---- toxicity --------------------------------------------------------------------------------------------------------
 
 
@@ -152,10 +158,10 @@ def severity_grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 def toxicity(docs: DataFrame, model: Ordinal, text_col: str = "text", reject_at: float = 0.3) -> DataFrame:
     """``docs`` with p_toxic (P(grade >= 1)), p_severe (P(grade >= 2)), expected_severity, rejected (p_toxic >= reject_at)."""
-    tails = F.col("__tails")
-    out = docs.withColumn("__tails", tail_probabilities(model, F.col(text_col)))
+    tails = F.col("tails")
     expected = F.aggregate(tails, F.lit(0.0), lambda a, x: a + x)
-    return out.withColumns({"p_toxic": F.get(tails, F.lit(0)), "p_severe": F.get(tails, F.lit(1)), "expected_severity": expected, "rejected": F.coalesce(F.get(tails, F.lit(0)) >= reject_at, F.lit(False))}).drop("__tails")
+    made = {"p_toxic": F.get(tails, F.lit(0)), "p_severe": F.get(tails, F.lit(1)), "expected_severity": expected, "rejected": F.coalesce(F.get(tails, F.lit(0)) >= reject_at, F.lit(False))}
+    return _scored(docs, model, text_col, made)
 
 
 # ---- quality ---------------------------------------------------------------------------------------------------------
@@ -173,7 +179,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Ord
 
 def quality(docs: DataFrame, model: Ordinal, text_col: str = "text", at_least: int = 2, keep_at: float = 0.5) -> DataFrame:
     """``docs`` with expected_grade, p_tail (P(grade >= at_least)) and selected (p_tail >= keep_at)."""
-    tails = F.col("__tails")
-    out = docs.withColumn("__tails", tail_probabilities(model, F.col(text_col)))
+    tails = F.col("tails")
     expected = F.aggregate(tails, F.lit(0.0), lambda a, x: a + x)
-    return out.withColumns({"expected_grade": expected, "p_tail": F.get(tails, F.lit(at_least - 1)), "selected": F.coalesce(F.get(tails, F.lit(at_least - 1)) >= keep_at, F.lit(True))}).drop("__tails")
+    made = {"expected_grade": expected, "p_tail": F.get(tails, F.lit(at_least - 1)), "selected": F.coalesce(F.get(tails, F.lit(at_least - 1)) >= keep_at, F.lit(True))}
+    return _scored(docs, model, text_col, made)

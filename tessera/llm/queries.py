@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import licences, ordinal
 from .bwtmerge import remove_repeats
 from .compactwindows import passages
-from .licence_texts import NOTICES, TEXTS
+from .licence_texts import DIGESTS, NOTICES, TEXTS
 from .multisethash import edited_copies
 from .pareto import ROUNDS, mix_sources
 from .shared import WORD
@@ -97,13 +97,17 @@ def _values(rows: dict[str, str]) -> str:
 
 
 def _canonical(lines: str) -> str:
-    return f"trim(regexp_replace({lines}, '[ \\n]+', ' ', 'g'))"
+    out = f"trim(regexp_replace({lines}, '[ \\n]+', ' ', 'g'))"
+    for a, b in licences.SPELLINGS:
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
 
 
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, {_canonical_lines("text")} AS lines FROM documents),
 w AS (SELECT doc_id, lines, {_canonical("lines")} AS whole FROM d),
-known AS (SELECT licence, sha256({_canonical(_canonical_lines("text"))}) AS digest FROM (VALUES {_values(TEXTS)}) AS t(licence, text)),
+known AS (SELECT licence, sha256({_canonical(_canonical_lines("text"))}) AS digest FROM (VALUES {_values(TEXTS)}) AS t(licence, text)
+          UNION ALL SELECT * FROM (VALUES {_values(DIGESTS)}) AS t(licence, digest)),
 notice AS (SELECT sha256({_canonical(_canonical_lines("text"))}) AS digest, licence FROM (VALUES {_values(NOTICES)}) AS t(text, licence)),
 line AS (SELECT doc_id, lines, i, sha256(trim(string_split(lines, chr(10))[i])) AS digest
          FROM (SELECT DISTINCT doc_id, lines FROM d) AS x, unnest(generate_series(1, len(string_split(lines, chr(10))))) AS s(i)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -53,6 +55,67 @@ def test_licences(spark):
     assert got == [(0, "MIT", ()), (1, "MIT", ()), (2, "MIT", ()), (3, None, ()), (4, None, ()), (5, None, ()), (6, None, ("MIT",)), (6, None, ("MIT",))]
 
 
+def test_wrapped_licences(spark):
+    """Every known text in lines of 78 and 60 characters, and as one line a sentence, with a statement of copyright."""
+    import textwrap
+
+    rows = []
+    for name, text in licences.TEXTS.items():
+        paragraphs = [x for x in text.split("\n") if not x.lower().startswith("copyright (c) <") and not x.startswith("Copyright <")]
+        for width in (60, 78):
+            rows.append((name, "\n\n".join([paragraphs[0], " * Copyright (c) 2019-2021, Some One <one@example.org>", *(textwrap.fill(x, width) for x in paragraphs[1:])])))
+        rows.append((name, "(c) 2020 Someone\n" + text))
+    got = licences.scan(spark.createDataFrame(rows, "name string, text string")).filter("licence is null or licence <> name").collect()
+    assert [r.name for r in got] == []
+
+
+@pytest.mark.parametrize(("name", "file"), [("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0")])
+def test_digests_of_published_texts(spark, name, file):
+    path = Path("/usr/share/common-licenses", file)
+    if not path.exists():
+        pytest.skip("the system has no copies of common licences")
+    rows = [(path.read_text(),), (" ".join(path.read_text().upper().replace("LICENSE", "LICENCE").split(" ")),)]
+    assert {r.licence for r in licences.scan(spark.createDataFrame(rows, "text string")).collect()} == {name}
+
+
+def test_columns_named_like_results(spark):
+    """A column that is named like a result column is replaced, all others stay."""
+    docs = spark.createDataFrame([(1, "Released under the MIT License.", "a", 1.0, 2, "t")], "doc_id long, text string, notices string, p_toxic double, selected int, tails string")
+    out = licences.scan(docs)
+    assert out.columns == ["doc_id", "text", "p_toxic", "selected", "tails", "canonical_sha256", "canonical_chars", "licence", "notices"] and out.first().notices == ["MIT"]
+    model = ordinal.Ordinal([0.0, 1.0], {})
+    out = ordinal.toxicity(docs, model)
+    assert out.columns == ["doc_id", "text", "notices", "selected", "tails", "p_toxic", "p_severe", "expected_severity", "rejected"]
+    assert abs(out.first().p_toxic - 0.5) < 1e-9 and out.first().tails == "t"
+    assert ordinal.quality(docs, model).columns == ["doc_id", "text", "notices", "p_toxic", "tails", "expected_grade", "p_tail", "selected"]
+    assert tiling.contaminations(docs.withColumnRenamed("notices", "found"), spark.createDataFrame([(1, "a b c d")], "item_id long, text string")).first().found == []
+
+
+def test_cumulative_links_reach_the_likelihood_of_an_independent_fit():
+    """Without shrinking, plain gradient ascent on the same likelihood ends no higher, and scores agree."""
+    rng = np.random.default_rng(5)
+    rows = [np.sort(rng.choice(8, 3, replace=False)) for _ in range(600)]
+    strength = rng.normal(size=8)
+    grade = np.digitize([strength[r].sum() + rng.logistic() for r in rows], [-0.5, 1.0])
+    x = np.zeros((600, 8))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+
+    def likelihood(w, theta):
+        cdf = lambda k: 1 / (1 + np.exp(-(np.concatenate([[-40], theta, [40]])[k] - x @ w)))
+        return np.log(np.maximum(cdf(grade + 1) - cdf(grade), 1e-12)).sum()
+
+    w, theta = np.zeros(8), np.array([-0.5, 0.5])
+    for _ in range(1500):
+        grad = np.array([(likelihood(w + e, theta) - likelihood(w - e, theta)) / 2e-4 for e in np.eye(8) * 1e-4])
+        push = np.array([(likelihood(w, theta + e) - likelihood(w, theta - e)) / 2e-4 for e in np.eye(2) * 1e-4])
+        w, theta = w + 0.003 * grad, theta + 0.003 * push
+    model = ordinal.fit(rows, grade, rounds=2000, shrink=0.0)
+    own = np.array([model.weights.get(k, 0.0) for k in range(8)])
+    assert likelihood(own, np.array(model.theta)) > likelihood(w, theta) - 1
+    assert np.corrcoef(x @ own, x @ w)[0, 1] > 0.99
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
