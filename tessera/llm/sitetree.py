@@ -15,7 +15,7 @@ Only counts are grouped by host, so one host with a third of all pages is a skew
 numbers per host; they are broadcast only if their table is small by its measured size, and joined by host otherwise.
 
 Defined results: a null html is an empty page with an empty text; a null url is a host of its own; broken markup (unclosed
-elements, cut-off tags) is read as browsers do; character references are decoded once; repeated rows give a row each; other
+elements, cut-off tags) is read as browsers do, but that a quote which never closes ends with its tag; character references are decoded once; repeated rows give a row each; other
 columns are left out; an empty table gives an empty result.
 """
 
@@ -33,8 +33,9 @@ from .shared import fits, stash, trimmed
 GAMMA, THRESHOLD, PAGES = 0.9, 0.15, 10
 SMALL = 16 << 20
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>]|["'][^>]*)*)(?:>|\Z)""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Element names of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math".split())
@@ -130,8 +131,10 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str,
             names = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(m[3])}
             own = f"{names.get('id', '')} {names.get('class', '')}".lower()
             label = tag + "".join(f".{x}" for x in sorted(own.split()))
-            noise = any(x in NOISE_NAMES for x in SPLIT_NAME.split(own)) or names.get("role", "").lower() in NOISE_ROLES or "hidden" in names or names.get("aria-hidden") == "true"
-        noise = noise and tag not in ("html", "body", "article", "main") or tag in NOISE_TAGS or tag == "header" and not up[3]
+            noise = any(x in NOISE_NAMES for x in SPLIT_NAME.split(own)) or names.get("role", "").lower() in NOISE_ROLES or "hidden" in names or names.get("aria-hidden") == "true" or UNSEEN.search(names.get("style", "")) is not None
+        # the page's own article may be called anything; articles in it are judged like other elements
+        own_frame = tag in ("html", "body", "main") or tag == "article" and not up[3]
+        noise = noise and not own_frame or tag in NOISE_TAGS or tag == "header" and not up[3]
         if noise and not up[2]:
             flush()
         if tag in BLOCKS:

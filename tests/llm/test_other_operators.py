@@ -25,6 +25,15 @@ def test_blocks_of_a_page():
     assert [b[1] for b in blocks if b[3] and not b[2]] == ["A&B é", "One two three", "Four five"]
 
 
+def test_hidden_parts_comments_and_broken_quotes():
+    page = """<article><p>Kept</p><article class="comment"><p>Reader says</p></article><p hidden>Not seen</p><div style="color:red; display: none">Nor this</div>
+<p>One <a title="x>b</p><p>Two</p></article>"""
+    blocks, _ = sitetree.parse(page)
+    assert [b[1] for b in blocks if b[3] and not b[2]] == ["Kept", "One b", "Two"]
+    long = "<article>" + "<p>word &amp; word</p>" * 20_000 + "</article>"
+    assert sum(b[1] == "word & word" for b in sitetree.parse(long)[0]) == 20_000
+
+
 def test_site_tree_cuts_what_all_pages_of_a_host_say(spark):
     page = "<html><body><div class=box><p>Always the same</p></div><div class=story><p>Story {0}</p><p>More {0}</p></div></body></html>"
     rows = [(i, f"http://a.com/{i}", page.format(i)) for i in range(30)] + [(90, None, None), (91, "u", ""), (92, "http://b.com", "<p>cut off <b"), (None, "http://c.com/x", "plain")]
