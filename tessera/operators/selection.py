@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 from tessera.functions.cross import correlation
 
 
+def bounded(df: DataFrame, most: int, what: str) -> list:
+    """The rows of a table that is small by its meaning; more than ``most`` are an error, never cut off."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
+
+
 def decorrelated(ic: DataFrame, top: int, most: float = 0.85, least: int = 20) -> list[str]:
     """Factors by |ICIR|, dropping those whose IC series correlates with one kept before. The IC table has a row per date and
-    factor; only the factor pairs (a few dozen names) come to the driver."""
-    rank = ic.groupBy("factor").agg(F.abs(F.try_divide(F.avg("ic"), F.nullif(F.stddev_samp("ic"), F.lit(0.0)))).alias("s")).dropna().orderBy(F.desc("s"), "factor").limit(1000).collect()
+    factor; the names and the pairs that correlate come to the driver, 10,000 and a million at most, else it fails."""
+    scores = ic.groupBy("factor").agg(F.abs(F.try_divide(F.avg("ic"), F.nullif(F.stddev_samp("ic"), F.lit(0.0)))).alias("s")).dropna().orderBy(F.desc("s"), "factor")
+    rank = bounded(scores, 10_000, "factors")
     other = ic.select("date", F.col("factor").alias("g"), F.col("ic").alias("h"))
-    pairs = ic.join(other, "date").filter("factor < g").groupBy("factor", "g").agg(correlation("ic", "h").alias("r"), F.count("*").alias("n")).filter(F.col("n") >= least).limit(1_000_000).collect()
-    close = {frozenset((p["factor"], p["g"])) for p in pairs if p["r"] is not None and abs(p["r"]) >= most}
+    alike = ic.join(other, "date").filter("factor < g").groupBy("factor", "g").agg(correlation("ic", "h").alias("r"), F.count("*").alias("n")).filter((F.col("n") >= least) & (F.abs("r") >= most))
+    close = {frozenset((p["factor"], p["g"])) for p in bounded(alike, 1_000_000, "correlated pairs")}
     kept: list[str] = []
     for r in rank:
         if len(kept) < top and not any(frozenset((r["factor"], k)) in close for k in kept):

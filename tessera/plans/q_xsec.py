@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cross
 from tessera.functions.rolling import wd
+from tessera.operators.selection import bounded
 from tessera.plans.registry import query
 from tessera.sources.driver_tables import Tables
 
@@ -59,7 +60,7 @@ def buckets(t: Tables) -> DataFrame:
 @query("x10_one_hot", "SELECT code, (industry = 'R0')::INTEGER AS is_r0, (industry = 'R1')::INTEGER AS is_r1, (industry = 'R2')::INTEGER AS is_r2, (industry = 'R3')::INTEGER AS is_r3, (industry = 'R4')::INTEGER AS is_r4 FROM securities")
 def one_hot(t: Tables) -> DataFrame:
     s = t.securities
-    values = [r[0] for r in s.select("industry").distinct().orderBy("industry").limit(1000).collect()]  # categories of one column
+    values = [r[0] for r in bounded(s.select("industry").distinct().orderBy("industry"), 1000, "categories")]
     return s.select("code", *(F.coalesce((F.col("industry") == v).cast("int"), F.lit(0)).alias(f"is_{v.lower()}") for v in values))
 
 
