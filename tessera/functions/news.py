@@ -37,3 +37,9 @@ def dedup_key(category: Column, url: Column, title: Column, time: Column) -> Col
 def available_date(time: Column, cutoff_hour: int) -> Column:
     """The day on which an article counts: from the cutoff hour on, the next one."""
     return F.when(F.hour(time) >= cutoff_hour, F.date_add(F.to_date(time), 1)).otherwise(F.to_date(time))
+
+
+def mixed_time(text: Column) -> Column:
+    """A time written in any of the usual forms; null where it is none of them."""
+    forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm", "yyyyMMdd")
+    return F.coalesce(*(F.try_to_timestamp(F.trim(text), F.lit(f)) for f in forms))

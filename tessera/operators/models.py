@@ -12,12 +12,14 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Most rounds of boosting (validation ends it earlier) and trees of a forest.
+ROUNDS, TREES = 40, 40
 #: name -> estimator of (features, label): the registry that users extend.
 MODELS: dict[str, Callable[[], object]] = {
     "elastic_net": lambda: LinearRegression(labelCol="label", elasticNetParam=0.5, regParam=1e-4, standardization=False),
     "logistic": lambda: LogisticRegression(labelCol="label", regParam=1e-3),
-    "boosted_trees": lambda: GBTRegressor(labelCol="label", maxIter=5, maxDepth=3, seed=7),
-    "bagged_trees": lambda: RandomForestRegressor(labelCol="label", numTrees=8, maxDepth=4, seed=7),
+    "boosted_trees": lambda: GBTRegressor(labelCol="label", maxIter=ROUNDS, maxDepth=4, stepSize=0.1, validationTol=1e-4, seed=7),
+    "bagged_trees": lambda: RandomForestRegressor(labelCol="label", numTrees=TREES, maxDepth=8, seed=7),
 }
 
 
@@ -37,9 +39,32 @@ def ridge(df: DataFrame, features: Sequence[str], label: str, alpha: float, weig
     return beta.tolist(), float(mean[k] - beta @ mean[:k])
 
 
-def train(df: DataFrame, features: Sequence[str], label: str, name: str) -> PipelineModel:
-    known = df.dropna(subset=[*features, label]).select(*features, F.col(label).cast("double").alias("label"))
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), MODELS[name]()]).fit(known)
+def decay_weights(df: DataFrame, date: str = "date", half_life: float = 365.0, floor: float = 0.2, minority: str | None = None) -> DataFrame:
+    """The rows with a ``weight``: half of it after every ``half_life`` days before the last date, ``floor`` at least; with a
+    0/1 label ``minority``, each class also counts by how rare it is. One row of sums is broadcast."""
+    top = df.agg(F.max(date).alias("__top"), *([F.avg(F.col(minority).cast("double")).alias("__share")] if minority else []))
+    age = F.datediff("__top", date) / half_life
+    w = F.greatest(F.pow(F.lit(0.5), age), F.lit(floor))
+    if minority:
+        share = F.when(F.col(minority) == 1, F.col("__share")).otherwise(1 - F.col("__share"))
+        w = w * F.try_divide(F.lit(0.5), F.nullif(share, F.lit(0.0)))
+    return df.crossJoin(F.broadcast(top)).withColumn("weight", w).drop("__top", "__share")
+
+
+def train(df: DataFrame, features: Sequence[str], label: str, name: str, weight: str | None = None, validation: str | None = None) -> PipelineModel:
+    """A fitted model of ``MODELS``; with row weights, and with a boolean column of validation rows, by which boosting ends
+    where they no longer gain and which no other model is fitted on."""
+    est = MODELS[name]()
+    stops = validation is not None and est.hasParam("validationIndicatorCol")
+    if weight:
+        est = est.setWeightCol(weight)
+    if stops:
+        est = est.setValidationIndicatorCol(validation)
+    elif validation:
+        df = df.filter(~F.col(validation))
+    extra = [c for c in (weight, validation if stops else None) if c]
+    known = df.dropna(subset=[*features, label]).select(*features, *extra, F.col(label).cast("double").alias("label"))
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), est]).fit(known)
 
 
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], out: str = "pred") -> DataFrame:

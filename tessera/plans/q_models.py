@@ -50,27 +50,32 @@ def elastic_net(t: Tables) -> DataFrame:
     return md.predict(md.train(t.predictions, X, "ret", "elastic_net"), t.predictions, X).select("code", "date", "pred")
 
 
+def _weighted(p: DataFrame) -> DataFrame:
+    """Rows weighted by age; those from 1997 on are for validation."""
+    return md.decay_weights(p).withColumn("held", F.col("date") >= F.lit("1997-01-01").cast("date"))
+
+
 @query("m05_classifier")
 def classifier(t: Tables) -> DataFrame:
     p = t.predictions.withColumn("up", (F.col("ret") > 0).cast("double"))
-    return md.predict(md.train(p, X, "up", "logistic"), p, X).select("code", "date", "pred")
+    return md.predict(md.train(md.decay_weights(p, minority="up"), X, "up", "logistic", "weight"), p, X).select("code", "date", "pred")
 
 
 @query("m06_boosted_trees")
 def boosted_trees(t: Tables) -> DataFrame:
-    return md.predict(md.train(t.predictions, [*X, "vol"], "ret", "boosted_trees"), t.predictions, [*X, "vol"]).select("code", "date", "pred")
+    return md.predict(md.train(_weighted(t.predictions), [*X, "vol"], "ret", "boosted_trees", "weight", "held"), t.predictions, [*X, "vol"]).select("code", "date", "pred")
 
 
 @query("m07_bagged_trees")
 def bagged_trees(t: Tables) -> DataFrame:
-    return md.predict(md.train(t.predictions, [*X, "vol"], "ret", "bagged_trees"), t.predictions, [*X, "vol"]).select("code", "date", "pred")
+    return md.predict(md.train(_weighted(t.predictions), [*X, "vol"], "ret", "bagged_trees", "weight"), t.predictions, [*X, "vol"]).select("code", "date", "pred")
 
 
 @query("m08_rank_labels")
 def rank_labels(t: Tables) -> DataFrame:
     """Learning to rank, pointwise: boosted trees on per-date relevance grades."""
     p = t.predictions.withColumn("grade", cross.relevance("ret", 5).cast("double"))
-    return md.predict(md.train(p, X, "grade", "boosted_trees"), p, X).select("code", "date", "pred")
+    return md.predict(md.train(_weighted(p), X, "grade", "boosted_trees", "weight", "held"), p, X).select("code", "date", "pred")
 
 
 def _windows(select: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import clean, cross
 from tessera.functions.rolling import wc
-from tessera.operators import asof, keyed, portfolio, tradability
+from tessera.operators import asof, evaluation, keyed, models, portfolio, tradability
 from tessera.plans.catalog import QUERIES, SQL
 from tests.compare import database, differences
 
@@ -146,3 +146,42 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     got = {(r.code, r.event_id): (r.prev, r.high, r.low, r.first) for r in spark.table("state").collect()}
     want = {(r.code, r.event_id): (r.prev, r.high, r.low, r.first) for r in tk.intraday_state(ticks).collect()}
     assert got == want
+
+
+def test_parameter_grids(spark):
+    short, swing = (evaluation.parameter_grid(spark, k) for k in ("short", "swing"))
+    assert short.count() == short.distinct().count() == 8100 and swing.distinct().count() == 576
+    template = spark.createDataFrame([(0.0, 1, 0.18, 0.45, 0.3), (9.0, 1, 0.18, 0.45, 0.3)], "ic_weight double, top_n int, gross_exposure double, ridge_quantile double, naive_weight double")
+    assert evaluation.parameter_grid(spark, "short", template).count() == 8102
+
+
+def test_boundaries_must_be_in_order():
+    assert evaluation.holdout_boundaries("2024-01-01", "2024-02-01", "2024-03-01")[2] == D(2024, 3, 1)
+    for wrong in (("2024-01-01", "2024-01-01", "2024-03-01"), ("2024-01-01", "", "2024-03-01"), ("2024-03-01", "2024-02-01", "2024-04-01")):
+        with pytest.raises(ValueError):
+            evaluation.holdout_boundaries(*wrong)
+
+
+def test_walk_forward_weights_find_the_better_leg(spark):
+    rows = [(str(c), D(2024, 1, 1) + dt.timedelta(i), float(c * i % 7), float(c + i % 3), 0.25 * (c * i % 7) + 0.75 * (c + i % 3)) for i in range(12) for c in range(5)]
+    p = spark.createDataFrame(rows, "code string, date date, a double, b double, y double")
+    got = [r.weight for r in evaluation.walk_forward_weights(p, "a", "b", "y", 6, 2).orderBy("date").collect()]
+    assert len(got) == 6 and got == pytest.approx([0.75] * 6)
+
+
+def test_only_one_trial_is_chosen(spark):
+    days = [D(2024, 1, 1) + dt.timedelta(i) for i in range(40)]
+    gain = {1: 0.001, 2: 0.004, 3: 0.003}
+    rows = [(p, d, g + 0.002 * (i % 3)) for p, g in gain.items() for i, d in enumerate(days)]
+    r = spark.createDataFrame(rows, "param_id int, date date, net double")
+    got = [(x.param_id, x.promote, x.chosen) for x in evaluation.promotion_trials(r, "2024-01-20", 1, 3).orderBy("trial").collect()]
+    assert got == [(2, True, True), (3, True, False), (1, False, False)]
+
+
+def test_row_weights_and_validation_reach_the_fit(spark):
+    rows = [(D(2024, 1, 1) + dt.timedelta(i), float(i % 4), float(i % 4 == 3), i >= 80) for i in range(100)]
+    df = models.decay_weights(spark.createDataFrame(rows, "date date, x double, y double, held boolean"), half_life=10.0, minority="y")
+    w = {r.date: r.weight for r in df.collect()}
+    assert w[D(2024, 4, 9)] == pytest.approx(0.5 / 0.25) and w[D(2024, 1, 1)] == pytest.approx(0.2 * 0.5 / 0.75)
+    fit = models.train(df, ["x"], "y", "boosted_trees", "weight", "held").stages[-1]
+    assert fit.getWeightCol() == "weight" and fit.getNumTrees < models.ROUNDS
