@@ -7,7 +7,8 @@ construction. Windows over dates alone order one row per date.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -190,3 +191,35 @@ def stability(day: DataFrame, least_gain: float = 0.5, most_decline: float = 0.5
     wins = month.groupBy("horizon").agg(F.count_if(F.col("candidate") > F.col("baseline")).alias("monthly_wins"), F.count("*").alias("months"))
     gain = F.col("candidate_sharpe") - F.col("baseline_sharpe")
     return main.join(wins, "horizon").select("*", gain.alias("sharpe_gain"), F.coalesce(gain >= least_gain, F.lit(False)).alias("significant"), F.coalesce(gain >= -most_decline, F.lit(False)).alias("acceptable"))
+
+
+def first_column(columns: Sequence[str], patterns: Sequence[str]) -> Column:
+    """The first column that the first matching pattern finds; null where none matches any."""
+    for p in patterns:
+        for c in columns:
+            if re.search(p, c):
+                return F.col(c)
+    return F.lit(None).cast("double")
+
+
+def feature_groups(columns: Sequence[str], rules: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
+    """The columns of each group whose name holds one of its parts; groups without columns are left out."""
+    found = {name: [c for c in columns if any(p in c for p in parts)] for name, parts in rules.items()}
+    return {name: cs for name, cs in found.items() if cs}
+
+
+def selection_manifest(chosen: DataFrame, label: str, train_end: str, valid_end: str, predict_start: str) -> DataFrame:
+    """One row on a selection of factors (one row each, few by construction): label, boundaries, count and digest of the names."""
+    names = F.array_join(F.array_sort(F.collect_list("factor")), "\n")
+    return chosen.agg(F.lit(label).alias("label_col"), F.lit(train_end).alias("train_end"), F.lit(valid_end).alias("valid_end"), F.lit(predict_start).alias("predict_start"), F.count("*").alias("selected_count"), F.sha2(names, 256).alias("selected_sha256"))
+
+
+def provenance_faults(manifest: DataFrame, chosen: DataFrame, label: str) -> DataFrame:
+    """The rows of a manifest with their ``faults``, joined by commas: more than one row, another label, another number or
+    digest of factors, boundaries out of order."""
+    now = selection_manifest(chosen, label, "", "", "").select(F.col("selected_count").alias("__n"), F.col("selected_sha256").alias("__h"))
+    rows = manifest.agg(F.count("*").alias("__rows"))  # one row, as the one above
+    x = manifest.crossJoin(F.broadcast(now)).crossJoin(F.broadcast(rows))
+    ordered = F.coalesce((F.to_date("train_end") < F.to_date("valid_end")) & (F.to_date("valid_end") < F.to_date("predict_start")), F.lit(False))
+    tests = {"rows": F.col("__rows") != 1, "label": ~F.col("label_col").eqNullSafe(label), "count": ~F.col("selected_count").eqNullSafe(F.col("__n")), "digest": ~F.col("selected_sha256").eqNullSafe(F.col("__h")), "boundaries": ~ordered}
+    return x.withColumn("faults", F.concat_ws(",", *(F.when(t, F.lit(n)) for n, t in tests.items()))).drop("__n", "__h", "__rows")

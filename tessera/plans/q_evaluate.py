@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cross
 from tessera.functions.news import mixed_time
-from tessera.functions.rolling import change, forward, gap, wd
-from tessera.operators import asof
+from tessera.functions.rolling import change, forward, gap, wc, wd
+from tessera.operators import asof, keyed
 from tessera.operators import evaluation as ev
+from tessera.operators import factor_stats as fs
+from tessera.operators import models as md
 from tessera.operators import portfolio as pf
 from tessera.plans.q_backtest import GRID, PORT, RULES, RUN, _params, metrics_sql
+from tessera.plans.q_models import ridge_sql
 from tessera.plans.q_news import SCORED, _scored
 from tessera.plans.q_series import W
+from tessera.plans.q_stats import IC
 from tessera.plans.q_xsec import D, z
 from tessera.plans.registry import query
 from tessera.sources.driver_tables import Tables
@@ -180,3 +184,61 @@ def panel(t: Tables) -> DataFrame:
     held = asof.valid_at(known, asof.intervals(t.industry_log), "industry")
     s = _scored(t).groupBy("code", F.col("day").alias("date")).agg(F.sum("score").alias("sentiment"))
     return held.join(s, ["code", "date"], "left").fillna(0.0, ["sentiment"])
+
+
+PICKED = f"WITH {IC}, sel AS (SELECT factor FROM ic GROUP BY factor HAVING abs(avg(ic)) >= 0.01)"
+
+
+@query("p34_provenance", PICKED + " SELECT 'ret' AS label_col, count(*) AS selected_count, sha256(string_agg(factor, chr(10) ORDER BY factor)) AS selected_sha256, '' AS faults FROM sel")
+def provenance(t: Tables) -> DataFrame:
+    """The manifest row of a selection of factors, with what is wrong with it (nothing)."""
+    factors = ["ridge_pred", "lgbm_pred", "rule_score", "vol"]
+    chosen = fs.ic_summary(fs.daily_ic(t.predictions, factors, "ret")).filter(F.abs("mean") >= 0.01).select("factor")
+    manifest = ev.selection_manifest(chosen, "ret", "1995-12-31", "1996-12-31", "1997-02-01")
+    return ev.provenance_faults(manifest, chosen, "ret").select("label_col", "selected_count", "selected_sha256", "faults")
+
+
+@query("p02_first_column", "SELECT code, avg(value) AS figure, count(*) AS n FROM reports GROUP BY code")
+def first_column(t: Tables) -> DataFrame:
+    """The figure of a report under whatever name it comes: the first column that the first matching pattern finds."""
+    r = t.reports
+    return r.groupBy("code").agg(F.avg(ev.first_column(r.columns, ["^net_profit", "^val", "kind"])).alias("figure"), F.count("*").alias("n"))
+
+
+@query("s15_snapshots", f"WITH h AS (SELECT code, date, close, 'old' AS engine FROM bars WHERE date < DATE '1997-01-01'), f AS (SELECT code, date, close / lag(close) OVER ({W}) AS close, 'new' AS engine FROM bars), n AS (SELECT * FROM f WHERE date >= DATE '1996-12-01' AND date < DATE '1997-02-01') SELECT * FROM n UNION ALL SELECT * FROM h ANTI JOIN n USING (code, date)")
+def snapshots(t: Tables) -> DataFrame:
+    """Snapshot lines of CSV, of which newer ones replace those of the same code and date."""
+    b, schema = t.bars, "code string, date date, close double, engine string"
+    line = lambda df, engine: df.select(F.to_csv(F.struct("code", "date", "close", F.lit(engine).alias("engine"))).alias("line"))
+    read = lambda df: df.select(F.from_csv("line", schema).alias("r")).select("r.*")
+    fresh = b.select("code", "date", F.try_divide("close", F.lag("close").over(wc())).alias("close")).filter("date >= date'1996-12-01' and date < date'1997-02-01'")
+    return keyed.upsert(read(line(b.filter("date < date'1997-01-01'"), "old")), read(line(fresh, "new")), ["code", "date"])
+
+
+KINDS = "(SELECT unnest(['decile ' || dec, 'month ' || strftime(date, '%Y-%m'), 'industry ' || industry, CASE WHEN rn <= 2 THEN 'top 2' END, CASE WHEN rn <= 5 THEN 'top 5' END, CASE WHEN rn <= 10 THEN 'top 10' END]) AS part, residual FROM x)"
+
+
+@query("b26_residual_attribution", f"WITH x AS (SELECT date, industry, ret - avg(ret) OVER ({D}) AS residual, row_number() OVER ({D} ORDER BY ridge_pred DESC, code) AS rn, CASE WHEN count(*) OVER ({D}) > 1 THEN greatest(0, ceil((row_number() OVER ({D} ORDER BY ridge_pred, code) - 1) * 10.0 / nullif(count(*) OVER ({D}) - 1, 0)) - 1)::INTEGER END AS dec FROM predictions JOIN securities USING (code)) SELECT part, count(*) AS n, avg(residual) AS mean, sum(residual) AS total FROM {KINDS} WHERE part IS NOT NULL GROUP BY part")
+def residual_attribution(t: Tables) -> DataFrame:
+    """What the residual returns of a leg come from: deciles, months, industries and its top names. One pass, then sums."""
+    p = t.predictions.join(F.broadcast(t.securities.select("code", "industry")), "code")
+    x = p.select("date", "industry", (F.col("ret") - F.avg("ret").over(wd())).alias("residual"), F.row_number().over(wd().orderBy(F.desc("ridge_pred"), "code")).alias("rn"), cross.quantile_bucket("ridge_pred", 10).alias("dec"))
+    tops = [F.when(F.col("rn") <= n, F.lit(f"top {n}")) for n in (2, 5, 10)]
+    parts = F.array(F.concat(F.lit("decile "), F.col("dec").cast("string")), F.concat(F.lit("month "), F.date_format("date", "yyyy-MM")), F.concat(F.lit("industry "), "industry"), *tops)
+    return x.select(F.explode(F.array_compact(parts)).alias("part"), "residual").groupBy("part").agg(F.count("*").alias("n"), F.avg("residual").alias("mean"), F.sum("residual").alias("total"))
+
+
+ONE = "one AS (SELECT covar_pop(ridge_pred, ret) * count(*) / (covar_pop(ridge_pred, ridge_pred) * count(*) + 10.0) AS c1, avg(ret) - covar_pop(ridge_pred, ret) * count(*) / (covar_pop(ridge_pred, ridge_pred) * count(*) + 10.0) * avg(ridge_pred) AS c0 FROM predictions WHERE date < DATE '1996-12-24')"
+
+
+@query("b36_augmented_features", f"WITH {ridge_sql('two', '''date < DATE '1996-12-24' ''')}, {ONE}, s AS (SELECT ret, c0 + c1 * ridge_pred AS a, b0 + b1 * ridge_pred + b2 * lgbm_pred AS b FROM predictions, one, two WHERE date >= DATE '1997-01-01'), m AS (SELECT count(*) AS n, avg(pow(ret - a, 2)) AS base_mse, avg(pow(ret - b, 2)) AS augmented_mse, corr(a, ret) AS base_corr, corr(b, ret) AS augmented_corr FROM s) SELECT *, augmented_mse < base_mse AND augmented_corr - base_corr >= 0.01 AS passed FROM m")
+def augmented_features(t: Tables) -> DataFrame:
+    """A ridge on one feature against one on two, both fitted a week before the year in which they are compared."""
+    p = t.predictions
+    past = p.filter("date < date'1996-12-24'")
+    fits = {name: md.ridge(past, x, "ret", 10.0) for name, x in (("a", LEGS[:1]), ("b", LEGS))}
+    score = lambda fit: F.lit(fit[1]) + sum(w * F.col(c) for w, c in zip(fit[0], LEGS, strict=False))
+    s = p.filter("date >= date'1997-01-01'").select("ret", *(score(f).alias(n) for n, f in fits.items()))
+    mse = lambda c: F.avg((F.col("ret") - F.col(c)) ** 2)
+    m = s.agg(F.count("*").alias("n"), mse("a").alias("base_mse"), mse("b").alias("augmented_mse"), F.corr("a", "ret").alias("base_corr"), F.corr("b", "ret").alias("augmented_corr"))
+    return m.withColumn("passed", (F.col("augmented_mse") < F.col("base_mse")) & (F.col("augmented_corr") - F.col("base_corr") >= 0.01))

@@ -53,9 +53,20 @@ def surge(t: Tables) -> DataFrame:
     return tk.surge_candidates(tk.intraday_state(t.ticks), 0.02, DAY).select("event_id", "change")
 
 
-@query("t06_surge_cooldown")
+def cooldown_sql(signals: str, by: str, seconds: int, columns: str) -> str:
+    """DuckDB text of the fold: from each signal the first one late enough, followed from the first of each key."""
+    hops = ", ".join(f"hop.{c}" for c in by.split(", "))
+    return f"sg AS MATERIALIZED ({signals}), tm AS MATERIALIZED (SELECT {by}, ts, min(event_id) AS event_id FROM sg GROUP BY ALL), hop AS MATERIALIZED (SELECT *, min(ts) OVER (PARTITION BY {by} ORDER BY ts RANGE BETWEEN INTERVAL {seconds} SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM tm), kept AS (SELECT {by}, min(ts) AS ts FROM tm GROUP BY {by} UNION ALL SELECT {hops}, hop.nxt AS ts FROM kept JOIN hop USING ({by}, ts) WHERE hop.nxt IS NOT NULL) SELECT {columns} FROM kept JOIN tm USING ({by}, ts) JOIN sg USING ({by}, ts, event_id)"
+
+
+SURGES = f"SELECT code, event_id, ts, last / nullif(prev, 0) - 1 AS change, last > prev AS up FROM st WHERE abs(last / nullif(prev, 0) - 1) >= 0.02 AND date_diff('second', prev_ts, ts) BETWEEN 1 AND {DAY}"
+
+
+@query("t06_surge_cooldown", f"WITH RECURSIVE {ST}, {cooldown_sql(SURGES, 'code, up', 2 * DAY, 'code, event_id, change')}")
 def surge_cooldown(t: Tables) -> DataFrame:
-    return tk.cooldown(tk.surge_candidates(tk.intraday_state(t.ticks), 0.02, DAY), 2 * DAY).select("code", "event_id", "change")
+    """Surges of a code and direction, each at least two days after the one before that was kept."""
+    s = tk.surge_candidates(tk.intraday_state(t.ticks), 0.02, DAY).select("code", "event_id", "ts", "change", (F.col("last") > F.col("prev")).alias("up"))
+    return tk.cooldown(s, 2 * DAY, ("code", "up")).select("code", "event_id", "change")
 
 
 @query("t07_volume_surge", f"WITH {ST}, b AS (SELECT *, first_value(CASE WHEN delta > 0 THEN delta END IGNORE NULLS) OVER (PARTITION BY code ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS base FROM st) SELECT code, min(event_id) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ts, event_id) AS rn FROM b WHERE delta >= 3 * base) WHERE rn = 1 GROUP BY code")
@@ -78,6 +89,9 @@ def chandelier(t: Tables) -> DataFrame:
     return tk.once(s.join(a, "code"), F.col("last") <= F.col("high") - 1.5 * F.col("atr")).select("code", "event_id")
 
 
+KINDS = "SELECT code, event_id, ts, 'up' AS kind FROM st WHERE last > 1.5 * first UNION ALL SELECT code, event_id, ts, 'down' FROM st WHERE last < 0.5 * first"
+
+
 @query("t12_dispatch", f"WITH {ST} SELECT event_id, 'up' AS kind FROM st WHERE last > 1.5 * first UNION ALL SELECT event_id, 'down' FROM st WHERE last < 0.5 * first")
 def dispatch(t: Tables) -> DataFrame:
     s = tk.intraday_state(t.ticks)
@@ -85,7 +99,7 @@ def dispatch(t: Tables) -> DataFrame:
     return s.select("event_id", F.explode(kinds).alias("kind"))
 
 
-@query("t13_notify")
+@query("t13_notify", f"WITH RECURSIVE {ST}, {cooldown_sql(KINDS, 'code, kind', DAY, 'code, event_id, kind')}")
 def notify(t: Tables) -> DataFrame:
     return tk.cooldown(dispatch(t).join(t.ticks.select("event_id", "code", "ts"), "event_id"), DAY, ("code", "kind")).select("code", "event_id", "kind")
 

@@ -128,4 +128,6 @@ def with_tables(body: str) -> str:
     body = body.strip()
     if not head:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"

@@ -50,18 +50,24 @@ def surge_candidates(state: DataFrame, share: float, longest_s: int) -> DataFram
 
 
 def cooldown(signals: DataFrame, seconds: int, by: tuple[str, ...] = ("code",)) -> DataFrame:
-    """Drops signals that come within ``seconds`` after one that was kept: a fold over each key's signals in time order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        keep, last = [], None
-        for ts in pdf["ts"]:
-            ok = last is None or (ts - last).total_seconds() >= seconds
-            keep.append(ok)
-            last = ts if ok else last
-        return pdf[keep]
-
-    return signals.groupBy(*by).applyInPandas(run, signals.schema)
+    """Drops signals that come within ``seconds`` after one that was kept. A key's signals pass in time order, batch by batch;
+    only the last kept time is held, so a key may have any number of them. Null times never come first and are dropped."""
+    keys = list(by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        for pdf in batches:
+            keep = []
+            for *own, ts in pdf[[*keys, "ts"]].itertuples(index=False):
+                if own != key:
+                    key, last = own, None
+                ok = last is None or (ts - last).total_seconds() >= seconds
+                keep.append(ok)
+                last = ts if ok else last
+            yield pdf[keep]
+
+    timed = signals.filter("ts is not null").repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id")
+    return timed.mapInPandas(run, signals.schema)
 
 
 class PreviousTick(StatefulProcessor):

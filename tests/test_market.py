@@ -11,6 +11,7 @@ from tessera.functions import clean, cross
 from tessera.functions.rolling import wc
 from tessera.operators import asof, evaluation, keyed, models, portfolio, tradability
 from tessera.plans.catalog import QUERIES, SQL
+from tessera.streaming import ticks
 from tests.compare import database, differences
 
 D = dt.date
@@ -185,3 +186,23 @@ def test_row_weights_and_validation_reach_the_fit(spark):
     assert w[D(2024, 4, 9)] == pytest.approx(0.5 / 0.25) and w[D(2024, 1, 1)] == pytest.approx(0.2 * 0.5 / 0.75)
     fit = models.train(df, ["x"], "y", "boosted_trees", "weight", "held").stages[-1]
     assert fit.getWeightCol() == "weight" and fit.getNumTrees < models.ROUNDS
+
+
+def test_provenance_names_every_fault(spark):
+    chosen = spark.createDataFrame([("b",), ("a",)], "factor string")
+    good = evaluation.selection_manifest(chosen, "y", "2024-01-01", "2024-02-01", "2024-03-01")
+    assert evaluation.provenance_faults(good, chosen, "y").first().faults == ""
+    wrong = evaluation.selection_manifest(chosen.filter("factor = 'a'"), "x", "2024-01-01", "2024-01-01", "2024-03-01")
+    assert evaluation.provenance_faults(wrong, chosen, "y").first().faults == "label,count,digest,boundaries"
+
+
+def test_groups_and_first_column():
+    assert evaluation.feature_groups(["x_local_decay_7", "n_count", "z"], {"direction": ["_local_decay_"], "none": ["q"]}) == {"direction": ["x_local_decay_7"]}
+    assert str(evaluation.first_column(["a", "net_b", "net_c"], ["^q", "^net"])) == str(F.col("net_b"))
+
+
+def test_cooldown_holds_only_the_last_kept_time(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(1, i, at(s)) for i, s in enumerate((0, 30, 59, 60, 61, 119, 120))] + [(2, 9, at(61)), (2, 10, None)]
+    s = spark.createDataFrame(rows, "code long, event_id long, ts timestamp_ntz")
+    assert sorted(r.event_id for r in ticks.cooldown(s, 60).collect()) == [0, 3, 6, 9]
