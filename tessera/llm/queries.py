@@ -17,6 +17,7 @@ from .shared import WORD
 from .sitetree import extract
 from .superminhash import near_duplicates
 from .tiling import contaminations
+from .tokenindex import write_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +84,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.quality(docs, model).select("doc_id", "expected_grade", "p_tail", F.col("selected").alias("keep"))
 
 
+def op12_tokenindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to shards with end id 2 and read back through the index."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = write_tokens(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    out = store.fetch(docs.select(F.col("doc_id").alias("key")))
+    return out.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def _canonical_lines(text: str) -> str:
     out = f"translate(coalesce({text}, ''), '{licences.UPPER}', '{licences.LOWER}')"
     out = f"regexp_replace({out}, '{licences.COPYRIGHT_LINE}', chr(10), 'g')"
@@ -162,6 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pareto": op8_pareto,
     "op9_tiling": op9_tiling,
     "op10_quality": op10_quality,
+    "op12_tokenindex": op12_tokenindex,
 }
 SQL: dict[str, str] = {
     "op5_licences": OP5_SQL,
