@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from . import licences, ordinal
 from .bwtmerge import remove_repeats
 from .compactwindows import passages
+from .hardnegatives import hard_negatives
 from .licence_texts import DIGESTS, NOTICES, TEXTS
 from .multisethash import edited_copies
 from .pareto import ROUNDS, mix_sources
+from .prefixtrie import packed_turns, prefix_trie, with_openings
 from .shared import WORD
 from .sitetree import extract
 from .superminhash import near_duplicates
@@ -84,6 +86,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.quality(docs, model).select("doc_id", "expected_grade", "p_tail", F.col("selected").alias("keep"))
 
 
+def op11_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each with the opening of the first of its hundred."""
+    return prefix_trie(with_openings(packed_turns(table(spark, sf_dir, "conversations"))))
+
+
 def op12_tokenindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to shards with end id 2 and read back through the index."""
     import public_tokenizers
@@ -94,6 +101,13 @@ def op12_tokenindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_anchortree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, against all vectors."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives(vectors, lambda vec_id: vec_id % 100 == 0).drop("nth_positive")
+
+
 def _canonical_lines(text: str) -> str:
     out = f"translate(coalesce({text}, ''), '{licences.UPPER}', '{licences.LOWER}')"
     out = f"regexp_replace({out}, '{licences.COPYRIGHT_LINE}', chr(10), 'g')"
@@ -162,6 +176,40 @@ SELECT doc_id, size, source_size, target, (whole + CASE WHEN got OR coalesce(nth
 FROM g{ROUNDS} AS g LEFT JOIN n ON g.source IS NOT DISTINCT FROM n.source
 """
 
+#: A step of the checksum takes a byte (below 256) or shifts one bit out (256).
+_CRC32 = """xor(list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split({0}, ''), lambda c: list_concat([ascii(c)::UBIGINT], list_transform(range(8), lambda b: 256::UBIGINT))))),
+  lambda a, s: CASE WHEN s < 256 THEN xor(a, s) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END), 4294967295::UBIGINT)"""
+
+OP11_SQL = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id AS c, conv_id - conv_id % 100 AS base, CAST({_CRC32.format("CAST(conv_id AS VARCHAR)")} % 6 AS BIGINT) AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.c, 0 AS own, t.i, t.h, t.text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h UNION ALL SELECT c.c, 1, t.i, t.h, t.text FROM c JOIN t ON t.conv_id = c.c AND t.i > c.h),
+m AS (SELECT c, row_number() OVER w AS d, md5(string_agg(h, '') OVER w) AS k, length(text) AS n, count(*) OVER (PARTITION BY c) AS deep FROM b WINDOW w AS (PARTITION BY c ORDER BY own, i ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT c, d, k, n, deep FROM m UNION ALL SELECT c.c, 0, '', 0, coalesce(max(m.deep), 0) FROM c LEFT JOIN m ON m.c = c.c GROUP BY c.c),
+l AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS up FROM a),
+v AS (SELECT d AS depth, k, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(n) AS n, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = deep), '')) AS ends_sha256 FROM l GROUP BY d, k),
+ch AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY ALL),
+x AS (SELECT v.*, coalesce(ch.n_children, 0) AS n_children FROM v LEFT JOIN ch USING (depth, k)),
+s AS (SELECT l.d AS depth, l.k, sum(CASE WHEN x.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((x.n_convs - 1) * x.n) AS saved_tokens FROM x JOIN l ON l.c = x.conv_id AND l.d <= x.depth GROUP BY ALL)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM x JOIN s USING (depth, k) LEFT JOIN v AS p ON p.depth = x.depth - 1 AND p.k = x.up
+"""
+
+OP13_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.uid, a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, b.uid AS other, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e AS a JOIN e AS b ON a.vec_id % 100 = 0 AND a.uid <> b.uid),
+p AS (SELECT uid, anchor_id, own, vec_id AS positive_id, other, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.uid = p.uid AND s.label <> p.own AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.uid, p.other ORDER BY s.score DESC, s.vec_id NULLS LAST)
+QUALIFY row_number() OVER w <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compactwindows": op1_compactwindows,
     "op2_sitetree": op2_sitetree,
@@ -173,9 +221,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pareto": op8_pareto,
     "op9_tiling": op9_tiling,
     "op10_quality": op10_quality,
+    "op11_prefixtrie": op11_prefixtrie,
     "op12_tokenindex": op12_tokenindex,
+    "op13_anchortree": op13_anchortree,
 }
 SQL: dict[str, str] = {
     "op5_licences": OP5_SQL,
     "op8_pareto": OP8_SQL,
+    "op11_prefixtrie": OP11_SQL,
+    "op13_anchortree": OP13_SQL,
 }
