@@ -23,8 +23,10 @@ whole, whatever its length.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
+import sys
 import uuid
 from array import array
 from dataclasses import dataclass
@@ -67,30 +69,76 @@ def _splits_at_spaces(path: str) -> bool:
     return plain and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or re.search(r"\s", a["content"]) for a in t["added_tokens"])
 
 
+#: Letters of Latin scripts and then ASCII marks without the apostrophe: the tokenizer parts them where the letters end, and a
+#: space with letters behind it is one word to it.
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_names() -> dict[int, str]:
+    """How byte-level tokenizers write bytes: printable Latin-1 as itself, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """The ids of whole texts as bytes, each followed by ``end_id``.
 
     Where the tokenizer parts every text before a space that follows a character other than white space, the text is cut
-    there, and the library encodes each piece once for as long as it is remembered; the ids are those of the whole text.
-    Other tokenizers get the text in one piece."""
+    there, and pieces are looked up among those seen before (the first ``remember`` different ones of a partition); the
+    library's model encodes a single word, and the library any other piece. The ids are those of the whole text. Other
+    tokenizers get the text in one piece."""
 
-    def __init__(self, path: str, end_id: int, remember: int = 16_000_000) -> None:
+    def __init__(self, path: str, end_id: int, remember: int = 300_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library, self.pieces = Tokenizer.from_file(path), _splits_at_spaces(path)
         self.kind = np.dtype("<u2" if max(self.library.get_vocab_size(), end_id + 1) <= 65536 else "<u4")
-        self.end, self.remember, self.held = np.array([end_id], self.kind).tobytes(), remember, 0
+        self.end, self.remember = np.array([end_id], self.kind).tobytes(), remember
         #: by whether a space stands before the piece
         self.known: dict[bool, dict[str, bytes]] = {False: {}, True: {}}
+        self.model, self.names = self.library.model, _byte_names()
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array("H" if self.kind.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        out = []
+        for i in range(0, len(texts), 5000):
+            out += [self._bytes(e.ids) for e in self.library.encode_batch(texts[i : i + 5000], add_special_tokens=False)]
+        return out
+
+    def _word(self, letters: str) -> bytes:
+        raw = self.names[32] + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.names))
+        return self._bytes([t.id for t in self.model.tokenize(raw)])
 
-    def _learn(self, pieces: set[str], spaced: bool) -> None:
+    def _learn(self, pieces: set[str], spaced: bool) -> list[str]:
+        """Makes the pieces known; returns those that are to be forgotten after use."""
         known = self.known[spaced]
-        new = list(pieces - known.keys())
-        known.update(zip(new, self._library([f" {x}" for x in new] if spaced else new), strict=True))
-        self.held += sum(map(len, new)) + 100 * len(new)
+        new, other = pieces - known.keys(), []
+        room = self.remember - len(known)
+        if spaced:
+            for x in new:
+                if (m := _WORD.fullmatch(x)) is None:
+                    other.append(x)
+                elif m[2] == "":
+                    known[x] = self._word(x)
+                else:
+                    if (tail := self.known[False].get(m[2])) is None:
+                        (tail,) = self._library([m[2]])
+                        if len(self.known[False]) < self.remember:
+                            self.known[False][m[2]] = tail
+                    known[x] = (known.get(m[1]) or self._word(m[1])) + tail
+        else:
+            other = list(new)
+        known.update(zip(other, self._library([f" {x}" for x in other] if spaced else other), strict=True))
+        if room >= len(new):
+            return [x for x in other if len(x) > 64]
+        return list(new)[max(room, 0) :]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.pieces:
@@ -104,12 +152,13 @@ class Encoder:
                 head, *rest = t.split(" ")
             heads.append(head)
             rests.append(rest)
-        if self.held > self.remember:
-            self.held, self.known = 0, {False: {}, True: {}}
-        self._learn(set(heads), False)
-        self._learn(set().union(*rests), True)
+        gone = self._learn(set(heads), False), self._learn(set().union(*rests), True)
         first, then = self.known[False], self.known[True].__getitem__
-        return [b"".join((first[h], *map(then, r), self.end)) for h, r in zip(heads, rests, strict=True)]
+        out = [b"".join((first[h], *map(then, r), self.end)) for h, r in zip(heads, rests, strict=True)]
+        for known, old in zip((self.known[False], self.known[True]), gone, strict=True):
+            for x in old:
+                del known[x]
+        return out
 
 
 # ---- shards ----------------------------------------------------------------------------------------------------------
