@@ -30,6 +30,7 @@ import sys
 import uuid
 from array import array
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -85,11 +86,11 @@ class Encoder:
     """The ids of whole texts as bytes, each followed by ``end_id``.
 
     Where the tokenizer parts every text before a space that follows a character other than white space, the text is cut
-    there, and pieces are looked up among those seen before (the first ``remember`` different ones of a partition); the
+    there, and pieces are looked up among those seen before (the first ``remember`` different ones of a worker); the
     library's model encodes a single word, and the library any other piece. The ids are those of the whole text. Other
     tokenizers get the text in one piece."""
 
-    def __init__(self, path: str, end_id: int, remember: int = 300_000) -> None:
+    def __init__(self, path: str, end_id: int, remember: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -161,6 +162,12 @@ class Encoder:
         return out
 
 
+@cache
+def encoder(path: str, end_id: int) -> Encoder:
+    """A worker's encoder; what it remembers serves all tasks that the worker runs."""
+    return Encoder(path, end_id)
+
+
 # ---- shards ----------------------------------------------------------------------------------------------------------
 
 
@@ -188,7 +195,7 @@ def _write(folder: str, tokenizer: str, end_id: int, shard_ids: int):
     """Writes a partition's documents; says where the documents of each key are, and which files it has written."""
 
     def run(batches):
-        encode, part, rolls = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        encode, part, rolls = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         fs, base = filesystem(folder)
         width, shard, log, key, since = encode.kind.itemsize, None, [], None, None
 
