@@ -90,7 +90,7 @@ class Encoder:
     library's model encodes a single word, and the library any other piece. The ids are those of the whole text. Other
     tokenizers get the text in one piece."""
 
-    def __init__(self, path: str, end_id: int, remember: int = 500_000) -> None:
+    def __init__(self, path: str, end_id: int, remember: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
