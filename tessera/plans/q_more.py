@@ -151,12 +151,6 @@ def snapshot_fields(t: Tables) -> DataFrame:
     return _scored(t).groupBy("code", "day").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0).alias("good"), F.count_if(F.col("score") < 0).alias("bad"), F.concat_ws(",", F.array_sort(F.collect_set("category"))).alias("tags"))
 
 
-@query("t10_gap_consumption", f"WITH {ST}, e AS (SELECT code AS ecode, quantile_cont(last, 0.75) - min(last) AS room FROM ticks GROUP BY code) SELECT code, event_id FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ts, event_id) AS rn FROM st JOIN e ON code = ecode WHERE last - first >= 0.6 * room) WHERE rn = 1")
-def gap_consumption(t: Tables) -> DataFrame:
-    e = t.ticks.groupBy("code").agg((F.percentile("last", 0.75) - F.min("last")).alias("room"))
-    return tk.once(tk.intraday_state(t.ticks).join(e, "code"), F.col("last") - F.col("first") >= 0.6 * F.col("room")).select("code", "event_id")
-
-
 @query("t15_status_counts", f"WITH {ST} SELECT CAST(ts AS DATE) AS day, CASE WHEN last > 1.2 * first THEN 'strong' WHEN last < 0.8 * first THEN 'weak' ELSE 'neutral' END AS status, count(*) AS n FROM st GROUP BY ALL")
 def status_counts(t: Tables) -> DataFrame:
     s = tk.intraday_state(t.ticks)

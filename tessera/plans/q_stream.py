@@ -42,21 +42,15 @@ def quote_age(t: Tables) -> DataFrame:
     return t.ticks.groupBy("code").agg(sec(F.max("ts")).alias("at")).crossJoin(F.broadcast(top)).select("code", (F.col("top") - F.col("at")).alias("age_s"))
 
 
-@query("t05_limit_watch", f"WITH {ST} {first_sql('last >= 1.8 * first', 'code, event_id')}")
-def limit_watch(t: Tables) -> DataFrame:
-    s = tk.intraday_state(t.ticks)
-    return tk.once(s, F.col("last") >= 1.8 * F.col("first")).select("code", "event_id")
-
-
 @query("t06_surge", f"WITH {ST} SELECT event_id, last / nullif(prev, 0) - 1 AS change FROM st WHERE abs(last / nullif(prev, 0) - 1) >= 0.02 AND date_diff('second', prev_ts, ts) BETWEEN 1 AND {DAY}")
 def surge(t: Tables) -> DataFrame:
     return tk.surge_candidates(tk.intraday_state(t.ticks), 0.02, DAY).select("event_id", "change")
 
 
-def cooldown_sql(signals: str, by: str, seconds: int, columns: str) -> str:
+def cooldown_sql(signals: str, by: str, seconds: int, columns: str, p: str = "") -> str:
     """DuckDB text of the fold: from each signal the first one late enough, followed from the first of each key."""
-    hops = ", ".join(f"hop.{c}" for c in by.split(", "))
-    return f"sg AS MATERIALIZED ({signals}), tm AS MATERIALIZED (SELECT {by}, ts, min(event_id) AS event_id FROM sg GROUP BY ALL), hop AS MATERIALIZED (SELECT *, min(ts) OVER (PARTITION BY {by} ORDER BY ts RANGE BETWEEN INTERVAL {seconds} SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM tm), kept AS (SELECT {by}, min(ts) AS ts FROM tm GROUP BY {by} UNION ALL SELECT {hops}, hop.nxt AS ts FROM kept JOIN hop USING ({by}, ts) WHERE hop.nxt IS NOT NULL) SELECT {columns} FROM kept JOIN tm USING ({by}, ts) JOIN sg USING ({by}, ts, event_id)"
+    hops = ", ".join(f"{p}hop.{c}" for c in by.split(", "))
+    return f"{p}sg AS MATERIALIZED ({signals}), {p}tm AS MATERIALIZED (SELECT {by}, ts, min(event_id) AS event_id FROM {p}sg GROUP BY ALL), {p}hop AS MATERIALIZED (SELECT *, min(ts) OVER (PARTITION BY {by} ORDER BY ts RANGE BETWEEN INTERVAL {seconds} SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM {p}tm), {p}kept AS (SELECT {by}, min(ts) AS ts FROM {p}tm GROUP BY {by} UNION ALL SELECT {hops}, {p}hop.nxt AS ts FROM {p}kept JOIN {p}hop USING ({by}, ts) WHERE {p}hop.nxt IS NOT NULL) SELECT {columns} FROM {p}kept JOIN {p}tm USING ({by}, ts) JOIN {p}sg USING ({by}, ts, event_id)"
 
 
 SURGES = f"SELECT code, event_id, ts, last / nullif(prev, 0) - 1 AS change, last > prev AS up FROM st WHERE abs(last / nullif(prev, 0) - 1) >= 0.02 AND date_diff('second', prev_ts, ts) BETWEEN 1 AND {DAY}"
@@ -76,34 +70,6 @@ def volume_surge(t: Tables) -> DataFrame:
     return tk.once(b, F.col("delta") >= 3 * F.col("base")).select("code", "event_id")
 
 
-@query("t08_vwap_deviation", f"WITH {ST} SELECT event_id, last / vwap - 1 AS deviation FROM st WHERE abs(last / vwap - 1) >= 0.01")
-def vwap_deviation(t: Tables) -> DataFrame:
-    d = F.try_divide("last", "vwap") - 1
-    return tk.intraday_state(t.ticks).select("event_id", d.alias("deviation")).filter("abs(deviation) >= 0.01")
-
-
-@query("t09_chandelier", f"WITH {ST}, a AS (SELECT code AS acode, avg(abs(last - prev)) AS atr FROM st GROUP BY code), j AS (SELECT st.*, atr FROM st JOIN a ON code = acode) SELECT code, event_id FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ts, event_id) AS rn FROM j WHERE last <= high - 1.5 * atr) WHERE rn = 1")
-def chandelier(t: Tables) -> DataFrame:
-    s = tk.intraday_state(t.ticks)
-    a = s.groupBy("code").agg(F.avg(F.abs(F.col("last") - F.col("prev"))).alias("atr"))
-    return tk.once(s.join(a, "code"), F.col("last") <= F.col("high") - 1.5 * F.col("atr")).select("code", "event_id")
-
-
-KINDS = "SELECT code, event_id, ts, 'up' AS kind FROM st WHERE last > 1.5 * first UNION ALL SELECT code, event_id, ts, 'down' FROM st WHERE last < 0.5 * first"
-
-
-@query("t12_dispatch", f"WITH {ST} SELECT event_id, 'up' AS kind FROM st WHERE last > 1.5 * first UNION ALL SELECT event_id, 'down' FROM st WHERE last < 0.5 * first")
-def dispatch(t: Tables) -> DataFrame:
-    s = tk.intraday_state(t.ticks)
-    kinds = F.array_compact(F.array(F.when(F.col("last") > 1.5 * F.col("first"), "up"), F.when(F.col("last") < 0.5 * F.col("first"), "down")))
-    return s.select("event_id", F.explode(kinds).alias("kind"))
-
-
-@query("t13_notify", f"WITH RECURSIVE {ST}, {cooldown_sql(KINDS, 'code, kind', DAY, 'code, event_id, kind')}")
-def notify(t: Tables) -> DataFrame:
-    return tk.cooldown(dispatch(t).join(t.ticks.select("event_id", "code", "ts"), "event_id"), DAY, ("code", "kind")).select("code", "event_id", "kind")
-
-
 @query("t14_sector_status", "WITH b AS (SELECT ts AS bts, last AS bench FROM ticks WHERE code = (SELECT min(code) FROM ticks)), j AS (SELECT t.code, t.ts, t.event_id, t.last / nullif(b.bench, 0) - 1 AS excess FROM ticks t ASOF LEFT JOIN b ON t.ts >= b.bts), s AS (SELECT *, CASE WHEN excess > 0.3 THEN 'strong' WHEN excess < -0.3 THEN 'weak' ELSE 'neutral' END AS status FROM j), c AS (SELECT *, lag(status) OVER (PARTITION BY code ORDER BY ts, event_id) AS was FROM s) SELECT code, event_id, status FROM c WHERE was IS DISTINCT FROM status")
 def sector_status(t: Tables) -> DataFrame:
     low = t.ticks.agg(F.min("code").alias("code"))
