@@ -110,6 +110,30 @@ def optional_leg(returns: DataFrame, params: DataFrame, boundary: str, weight: s
     return m.select("weight", "selection_sharpe", "selection_dd", "holdout_sharpe", "holdout_dd", (nth == 1).alias("selected"))
 
 
+def leg_over_horizons(frame: DataFrame, base: str, leg: str, labels: Mapping[int, str], weights: Sequence[float], boundary: str, top_n: int = 5) -> DataFrame:
+    """(weight, selection_sharpe, holdout_sharpe, holdout_worst, selected, confirmed): the mean Sharpe over horizons of the
+    top n by base + weight * leg. The best weight before the boundary is selected where it beats weight 0, else 0; it is
+    confirmed where it beats weight 0 behind the boundary, too. Labels of h sessions count by 1/h; a null leg adds nothing.
+
+    The panel is ranked once for each weight and horizon (a dozen); one row for each date goes on."""
+    scored = [(h, w, F.round(F.col(base) + w * F.coalesce(leg, F.lit(0.0)), DIGITS)) for h in labels for w in weights]
+    picks = F.array(*(F.struct(F.lit(h).alias("horizon"), F.lit(float(w)).alias("weight"), s.alias("score"), (F.col(labels[h]) / h).alias("net")) for h, w, s in scored))
+    long = frame.select("date", "code", F.explode(picks).alias("p")).select("date", "code", "p.*").filter("net is not null")
+    nth = F.row_number().over(Window.partitionBy("horizon", "weight", "date").orderBy(F.desc("score"), "code"))
+    day = long.withColumn("__n", nth).filter(F.col("__n") <= top_n).groupBy("horizon", "weight", "date").agg(F.avg("net").alias("net"))
+    early = F.col("date") < F.lit(boundary).cast("date")
+    sharpe = lambda x: F.try_divide(F.avg(x) * 252, F.nullif(F.stddev_samp(x) * 252**0.5, F.lit(0.0)))
+    by_h = day.groupBy("horizon", "weight").agg(sharpe(F.when(early, F.col("net"))).alias("sel"), sharpe(F.when(~early, F.col("net"))).alias("hld"))
+    m = by_h.groupBy("weight").agg(F.avg("sel").alias("selection_sharpe"), F.avg("hld").alias("holdout_sharpe"), F.min("hld").alias("holdout_worst"))
+    base_row = m.filter("weight = 0").select(F.col("selection_sharpe").alias("__bs"), F.col("holdout_sharpe").alias("__bh"))
+    m = m.crossJoin(F.broadcast(base_row))  # one row
+    better = (F.col("weight") > 0) & (F.round("selection_sharpe", DIGITS) > F.round("__bs", DIGITS))
+    first = F.row_number().over(Window.orderBy(F.desc_nulls_last(F.when(better, F.round("selection_sharpe", DIGITS))), "weight")) == 1
+    m = m.withColumn("selected", first)
+    holds = F.coalesce(F.round("holdout_sharpe", DIGITS) > F.round("__bh", DIGITS), F.lit(False))
+    return m.select("weight", "selection_sharpe", "holdout_sharpe", "holdout_worst", "selected", (F.col("selected") & (F.col("weight") > 0) & holds).alias("confirmed"))
+
+
 def walk_forward_weights(pred: DataFrame, one: str, two: str, label: str, train_days: int = 60, every: int = 5) -> DataFrame:
     """(date, weight): the least-squares weight of ``two`` beside 1 - weight of ``one``, within 0 and 1, refitted every few
     dates on the ``train_days`` dates before. The sums of a date are one aggregate; the windows are over dates alone."""
