@@ -163,7 +163,8 @@ def weighted_days(pred: DataFrame, weights: DataFrame, one: str, two: str, label
 
 def weight_gate(day: DataFrame, fixed: float = 0.5, least_days: int = 120, sharpe_gain: float = 0.1, hit_delta: float = 0.0, most_worse: float = 0.02, most_step: float = 0.2, last: int = 20) -> DataFrame:
     """One row: why the candidate's weights are not promoted (empty: they are), and whether its last days call for a
-    rollback, that is, have a lower mean and a lower total than the baseline's."""
+    rollback, that is, have a lower mean and a lower total than the baseline's. A side without figures fails every gate; an empty
+    table gives one row with all reasons but the Sharpe's, which needs a baseline."""
     long = day.unpivot(["date"], ["candidate", "baseline"], "run", "net")
     m = return_metrics(long, ["run"]).join(long.groupBy("run").agg(F.avg("net").alias("mean")), "run")
     side = {r: F.max(F.when(F.col("run") == r, F.struct("n", "mean", "sharpe", "win_rate", "max_dd"))).alias(r) for r in ("candidate", "baseline")}
@@ -180,9 +181,10 @@ def weight_gate(day: DataFrame, fixed: float = 0.5, least_days: int = 120, sharp
         "drawdown_gate": c("max_dd") < b("max_dd") - most_worse,
         "weight_step_gate": F.abs(F.col("weight") - fixed) > most_step,
     }
-    why = F.concat_ws(",", *(F.when(test, F.lit(name)) for name, test in reasons.items()))
+    # what can't be compared is not promoted
+    why = F.concat_ws(",", *(F.when(F.coalesce(test, F.lit(name != "sharpe_not_improved")), F.lit(name)) for name, test in reasons.items()))
     back = (F.col("k") >= last) & (F.col("a") < F.col("b")) & (F.col("current_return") < F.col("previous_return"))
-    return m.crossJoin(F.broadcast(recent)).select(c("n").alias("days"), why.alias("reasons"), back.alias("rollback"), "current_return", "previous_return")
+    return m.crossJoin(F.broadcast(recent)).select(F.coalesce(c("n"), F.lit(0)).alias("days"), why.alias("reasons"), F.coalesce(back, F.lit(False)).alias("rollback"), "current_return", "previous_return")
 
 
 def lookup(evaluated: DataFrame, asked: DataFrame, keys: Sequence[str], tolerance: float = 1e-9) -> DataFrame:

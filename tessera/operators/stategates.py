@@ -16,7 +16,7 @@ from tessera.functions.rolling import wd
 from tessera.operators.portfolio import return_metrics
 
 #: Digits to which scores, features and figures are compared, so that the order of a sum decides nothing.
-DIGITS = 9
+DIGITS, STATE_DIGITS = 9, 12
 GATE = "gate int, family string, feature string, quantile double, high double, low double"
 
 
@@ -55,7 +55,7 @@ def state_features(frame: DataFrame, champion: str, leg: str, size: int, trailin
     usual = F.when(F.count("s").over(before) >= least, F.percentile("s", 0.5).over(before))
     day = day.withColumn("dispersion_ratio", F.try_divide("s", F.nullif(usual, F.lit(0.0))))
     names = ("pool_coverage", "pool_dispersion", "pool_gap_z", "dispersion_ratio", "gap_z")
-    return day.select("date", *(F.round(n, DIGITS).alias(n) for n in names))
+    return day.select("date", *(F.round(n, STATE_DIGITS).alias(n) for n in names))
 
 
 def daily_weights(states: DataFrame, gates: DataFrame, boundary: str) -> DataFrame:
@@ -67,7 +67,7 @@ def daily_weights(states: DataFrame, gates: DataFrame, boundary: str) -> DataFra
     seen = F.when(early, F.col("value"))
     qs = sorted({r[0] for r in gates.select("quantile").distinct().collect()} - {None})
     cut = long.groupBy("feature").agg(F.percentile(seen, F.array(*map(F.lit, qs))).alias("cuts"), F.count_distinct(seen).alias("kinds")).filter("kinds >= 2")
-    cut = cut.select("feature", F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("quantile"), "cuts")).alias("c")).select("feature", "c.quantile", F.round("c.cuts", DIGITS).alias("threshold"))
+    cut = cut.select("feature", F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("quantile"), "cuts")).alias("c")).select("feature", "c.quantile", F.round("c.cuts", STATE_DIGITS).alias("threshold"))
     gated = F.broadcast(gates.join(cut, ["feature", "quantile"]))  # a table of parameters
     weight = F.when(F.coalesce(F.col("value") >= F.col("threshold"), F.lit(False)), F.col("high")).otherwise(F.col("low"))
     out = long.join(gated, "feature").select("gate", "family", "date", early.alias("early"), "threshold", weight.alias("weight"))

@@ -94,7 +94,7 @@ def weight_walk(t: Tables) -> DataFrame:
     return _walk(t)
 
 
-@query("b28_weight_gate", f"WITH {WALK}, long AS (SELECT 'candidate' AS run, date, candidate AS net FROM walk UNION ALL SELECT 'baseline', date, baseline FROM walk), m AS ({metrics_sql('long', 'run')}), g AS (SELECT run, avg(net) AS mean FROM long GROUP BY run), c AS (SELECT * FROM m JOIN g USING (run) WHERE run = 'candidate'), b AS (SELECT * FROM m JOIN g USING (run) WHERE run = 'baseline'), t AS (SELECT count(*) AS k, arg_max(weight, date) AS weight, exp(sum(ln(1 + greatest(candidate, -0.99)))) - 1 AS current_return, exp(sum(ln(1 + greatest(baseline, -0.99)))) - 1 AS previous_return, avg(candidate) AS a, avg(baseline) AS z FROM (SELECT * FROM walk ORDER BY date DESC LIMIT 20)) SELECT c.n AS days, concat_ws(',', CASE WHEN c.n < 120 THEN 'insufficient_oos_days' END, CASE WHEN c.mean <= b.mean THEN 'mean_return_not_improved' END, CASE WHEN b.sharpe IS NOT NULL AND coalesce(c.sharpe < b.sharpe + 0.1, TRUE) THEN 'sharpe_not_improved' END, CASE WHEN c.win_rate < b.win_rate THEN 'hit_rate_gate' END, CASE WHEN c.max_dd < b.max_dd - 0.02 THEN 'drawdown_gate' END, CASE WHEN abs(weight - 0.5) > 0.2 THEN 'weight_step_gate' END) AS reasons, k >= 20 AND a < z AND current_return < previous_return AS rollback, current_return, previous_return FROM c, b, t")
+@query("b28_weight_gate", f"WITH {WALK}, long AS (SELECT 'candidate' AS run, date, candidate AS net FROM walk UNION ALL SELECT 'baseline', date, baseline FROM walk), m AS ({metrics_sql('long', 'run')}), g AS (SELECT run, avg(net) AS mean FROM long GROUP BY run), c AS (SELECT * FROM m JOIN g USING (run) WHERE run = 'candidate'), b AS (SELECT * FROM m JOIN g USING (run) WHERE run = 'baseline'), t AS (SELECT count(*) AS k, arg_max(weight, date) AS weight, exp(sum(ln(1 + greatest(candidate, -0.99)))) - 1 AS current_return, exp(sum(ln(1 + greatest(baseline, -0.99)))) - 1 AS previous_return, avg(candidate) AS a, avg(baseline) AS z FROM (SELECT * FROM walk ORDER BY date DESC LIMIT 20)) SELECT coalesce(c.n, 0) AS days, concat_ws(',', CASE WHEN coalesce(c.n < 120, TRUE) THEN 'insufficient_oos_days' END, CASE WHEN coalesce(c.mean <= b.mean, TRUE) THEN 'mean_return_not_improved' END, CASE WHEN b.sharpe IS NOT NULL AND coalesce(c.sharpe < b.sharpe + 0.1, TRUE) THEN 'sharpe_not_improved' END, CASE WHEN coalesce(c.win_rate < b.win_rate, TRUE) THEN 'hit_rate_gate' END, CASE WHEN coalesce(c.max_dd < b.max_dd - 0.02, TRUE) THEN 'drawdown_gate' END, CASE WHEN coalesce(abs(weight - 0.5) > 0.2, TRUE) THEN 'weight_step_gate' END) AS reasons, coalesce(k >= 20 AND a < z AND current_return < previous_return, FALSE) AS rollback, current_return, previous_return FROM t LEFT JOIN c ON TRUE LEFT JOIN b ON TRUE")
 def weight_gate(t: Tables) -> DataFrame:
     return ev.weight_gate(_walk(t))
 

@@ -34,7 +34,7 @@ f1 AS (SELECT f0.*, ret_1, ret_2, ret_3, champion > 0 AND row_number() OVER ({D}
 fr AS (SELECT *, CASE WHEN p THEN leg END AS pl FROM f1),
 st0 AS (SELECT date, count(pl) / nullif(count(*) FILTER (p), 0) AS cover, {_state('pl', 'a')}, {_state('leg', 'b')} FROM fr GROUP BY date),
 st1 AS (SELECT *, CASE WHEN count(b_s) OVER w >= 20 THEN quantile_cont(b_s, 0.5) OVER w END AS usual FROM st0 WINDOW w AS (ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
-st AS (SELECT date, round(cover, 9) AS pool_coverage, round(a_s, 9) AS pool_dispersion, round(a_g, 9) AS pool_gap_z, round(b_s / nullif(usual, 0), 9) AS dispersion_ratio, round(b_g, 9) AS gap_z FROM st1)"""
+st AS (SELECT date, round(cover, 12) AS pool_coverage, round(a_s, 12) AS pool_dispersion, round(a_g, 12) AS pool_gap_z, round(b_s / nullif(usual, 0), 12) AS dispersion_ratio, round(b_g, 12) AS gap_z FROM st1)"""
 
 
 @query("x21_gate_states", f"WITH {_FRAME} SELECT * FROM st")
@@ -64,7 +64,7 @@ gates AS (SELECT row_number() OVER (ORDER BY o, f, quantile, high, low)::INTEGER
   UNION ALL SELECT 3, 0, 'full', 'always', NULL, 0.0, 0.0
   UNION ALL SELECT 4, f.i, 'full', f.n, q, hi, lw FROM (VALUES (1, 'dispersion_ratio'), (2, 'gap_z')) AS f(i, n), (SELECT unnest([0.5::DOUBLE, 0.6, 0.7]) AS q), (SELECT unnest([0.05::DOUBLE, 0.10]) AS hi), (SELECT unnest([0.0::DOUBLE, 0.03]) AS lw))),
 cq AS (SELECT feature, quantile_cont(value, [0.5, 0.6, 0.7, 0.8]) FILTER (date < DATE '1996-06-01') AS cuts, count(DISTINCT value) FILTER (date < DATE '1996-06-01') AS kinds FROM lo GROUP BY feature),
-ct AS (SELECT gate, kinds, round(cuts[list_position([0.5::DOUBLE, 0.6, 0.7, 0.8], quantile)], 9) AS threshold FROM gates JOIN cq USING (feature)),
+ct AS (SELECT gate, kinds, round(cuts[list_position([0.5::DOUBLE, 0.6, 0.7, 0.8], quantile)], 12) AS threshold FROM gates JOIN cq USING (feature)),
 dl AS (SELECT gate, family, date, date < DATE '1996-06-01' AS early, CASE WHEN coalesce(value >= threshold, FALSE) THEN high ELSE low END AS weight FROM gates JOIN ct USING (gate) JOIN lo USING (feature) WHERE kinds >= 2
        UNION ALL SELECT gate, family, date, date < DATE '1996-06-01', high FROM gates, st WHERE feature = 'always'),
 zz AS (SELECT *, {_zed('pl')} AS zp, {_zed('leg')} AS zf FROM fr), pk AS ({_PICKS}),

@@ -95,15 +95,15 @@ def test_gates_equal_a_plain_run(gated):
     edge = dt.date.fromisoformat(BOUNDARY)
     assert len(got) == 38 and {r.family for r in got if r.selected} == {"pool", "full"}
     for r in random.Random(2).sample(got, 12) + [x for x in got if x.selected]:
-        early = [round(v[at[r.feature]], 9) for d, v in states.items() if r.feature in at and d < edge and v[at[r.feature]] is not None]
-        cut = round(float(np.quantile(early, r.quantile)), 9) if early else None
+        early = [round(v[at[r.feature]], 12) for d, v in states.items() if r.feature in at and d < edge and v[at[r.feature]] is not None]
+        cut = round(float(np.quantile(early, r.quantile)), 12) if early else None
         assert (r.threshold is None) == (cut is None) and (cut is None or abs(r.threshold - cut) < 2e-9)
 
         def weight(d):
             if cut is None:  # noqa: B023
                 return r.high  # noqa: B023
             v = states[d][at[r.feature]]  # noqa: B023
-            return r.high if v is not None and round(v, 9) >= cut else r.low  # noqa: B023
+            return r.high if v is not None and round(v, 12) >= cut else r.low  # noqa: B023
 
         for name, part in (("selection", [x for x in rows if x[0] < edge]), ("holdout", [x for x in rows if x[0] >= edge])):
             sharpes, falls = [], []
@@ -122,3 +122,15 @@ def test_what_comes_later_changes_no_choice(spark, gated):
     again = sg.evaluate_gates(spark.createDataFrame(other, ROW), "champion", "leg", {1: "r1", 2: "r2"}, sg.gate_table(spark), BOUNDARY, 6, 3).collect()
     pick = lambda rs: sorted((r.gate, r.threshold, round(r.selection_sharpe, 9), r.selected) for r in rs)
     assert pick(again) == pick(got)
+
+
+def test_weight_gate_promotes_nothing_without_figures(spark):
+    from tessera.operators.evaluation import weight_gate
+
+    walk = "date date, weight double, candidate double, baseline double"
+    (empty,) = weight_gate(spark.createDataFrame([], walk)).collect()
+    assert empty.days == 0 and not empty.rollback
+    assert empty.reasons == "insufficient_oos_days,mean_return_not_improved,hit_rate_gate,drawdown_gate,weight_step_gate"
+    rows = [(dt.date(2021, 1, 1) + dt.timedelta(days=i), 0.5, None, 0.001 * (i % 3 - 0.5)) for i in range(130)]
+    (one,) = weight_gate(spark.createDataFrame(rows, walk)).collect()
+    assert "mean_return_not_improved" in one.reasons and "sharpe_not_improved" in one.reasons
