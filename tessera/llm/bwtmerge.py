@@ -354,7 +354,8 @@ def repeated_strings(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", most_forms: int = MOST_FORMS) -> DataFrame:
     """The rows of ``docs`` with all their columns, and: n_bytes long, spans array<struct<start, end>> (maximal removed byte
-    runs), kept binary (the remaining bytes in order), left string (the same without characters that were cut in two)."""
+    runs), kept binary (the remaining bytes in order), left string (the same without characters that were cut in two). Columns
+    of ``docs`` with one of these names are replaced."""
     found = repeated_strings(docs, length, id_col, text_col, most_forms)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     keyed = row_key(whole, "__id", "__text").withColumn("row", F.col("row").dropFields(text_col) if len(docs.columns) > 1 else F.struct(F.lit(0).alias("__none")))
@@ -378,5 +379,5 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     span_type = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
     out = both.mapInArrow(trimmed(apply), T.StructType([*both.drop("found").schema]).add("spans", span_type).add("kept", "binary").add("left", "string"))
-    cols = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
+    cols = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_bytes", "spans", "kept", "left")]
     return out.select(*cols, F.octet_length("text").cast("long").alias("n_bytes"), "spans", "kept", "left")

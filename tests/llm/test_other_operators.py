@@ -299,3 +299,22 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     left = corpus_pipeline.run(spark, str(tmp_path)).collect()
     # of the copies 1, 1 and 2 one stays; 5 repeats itself all over
     assert sorted(str(r.doc_id) for r in left) == ["1", "4", "None"]
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    names = ["k1", "k2", "left", "spans", "kept", "n_bytes", "rejected", "found", "row", "group", "expected_severity", "__text"]
+    text = lambda i: " ".join(f"word{i}x{j}" for j in range(80))
+    rows = [(i, text(i), "en", "a", 1, *(f"{c}{i}" for c in names)) for i in range(4)]
+    more = ", ".join(f"`{c}` string" for c in names)
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {more}")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "not in any of them at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stash(stage(spark, docs, str(tmp_path)), name)
+        assert sorted(tuple(r) for r in docs.collect()) == rows, name
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
