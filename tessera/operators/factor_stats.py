@@ -29,7 +29,7 @@ def layer_returns(panel: DataFrame, factor: str, label: str, q: int) -> DataFram
     by = Window.partitionBy("date")
     x = panel.select("date", F.col(factor).alias("x"), F.col(label).alias("y")).dropna()
     edges = F.array_distinct(F.percentile("x", [i / q for i in range(q + 1)]).over(by))
-    x = x.withColumns({"e": edges, "n": F.count("x").over(by), "u": F.size(F.collect_set("x").over(by))})
+    x = x.withColumns({"e": edges, "n": F.count("x").over(by), "r": F.dense_rank().over(by.orderBy("x"))}).withColumn("u", F.max("r").over(by))
     x = x.filter((F.col("n") >= 3 * q) & (F.col("u") >= q))
     layer = F.greatest(F.size(F.filter("e", lambda v: v < F.col("x"))) - 1, F.lit(0))
     return x.groupBy("date", layer.alias("layer")).agg(F.avg("y").alias("mean"))

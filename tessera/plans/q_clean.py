@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import clean
 from tessera.functions.rolling import wc
 from tessera.operators import asof
+from tessera.operators.sessions import session_days
 from tessera.plans.registry import query
 from tessera.sources.driver_tables import Tables
 
@@ -175,10 +176,12 @@ def list_hash(t: Tables) -> DataFrame:
 
 @query("p31_holding_days", "WITH c AS (SELECT date, row_number() OVER (ORDER BY date) AS ord FROM calendar), r AS (SELECT code, ann_date FROM reports), p AS (SELECT r.code, r.ann_date, c.ord FROM r ASOF LEFT JOIN c ON r.ann_date >= c.date) SELECT code, ann_date, (SELECT max(ord) FROM c) - coalesce(ord, 0) AS days FROM p")
 def holding_days(t: Tables) -> DataFrame:
-    cal = asof.session_number(t.calendar)
-    day = t.reports.select(F.lit("x").alias("code"), F.col("ann_date").alias("date"), F.col("code").alias("real"))
-    at = asof.asof(day, cal.select(F.lit("x").alias("code"), F.col("date").alias("d"), "ord"), "d", ["ord"])
-    return at.crossJoin(F.broadcast(cal.agg(F.max("ord").alias("top")))).select(F.col("real").alias("code"), F.col("date").alias("ann_date"), (F.col("top") - F.coalesce("ord", F.lit(0))).cast("long").alias("days"))
+    """Sessions since each report, by equality with the days of the calendar; reports behind it have none, before it all."""
+    days = session_days(t.calendar).select("day", "upto")
+    ends = days.agg(F.max("upto").alias("top"), F.max("day").alias("last"))
+    at = t.reports.join(days, F.col("ann_date") == F.col("day"), "left").crossJoin(F.broadcast(ends))  # one row
+    passed = F.coalesce("upto", F.when(F.col("ann_date") > F.col("last"), F.col("top")).otherwise(0))
+    return at.select("code", "ann_date", (F.col("top") - passed).alias("days"))
 
 
 @query("p33_priority_list", """WITH u AS (SELECT code, 1 AS p, 0 AS s FROM securities WHERE industry = 'R1' UNION ALL SELECT code, 2, 0 FROM securities WHERE industry = 'R2' UNION ALL SELECT code, 3, -max(ridge_pred) FROM predictions GROUP BY code),
