@@ -17,6 +17,9 @@ L03 = f"f1 AS (SELECT *, quantile_cont(vol, 0.9) OVER ({D}) AS c, count(vol) OVE
 PICK = f"pick AS (SELECT *, least(1.0 / count(*) OVER ({D}), 0.15) AS weight FROM (SELECT *, row_number() OVER ({D} ORDER BY ridge_pred DESC, code) AS rn FROM alive) WHERE rn <= 5)"
 TURN = "days AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM pick)), a AS (SELECT k, code, weight FROM pick JOIN days USING (date)), b AS (SELECT k + 1 AS k, code, weight AS before FROM a), chg AS (SELECT date, coalesce(weight, 0) AS w, coalesce(before, 0) AS v FROM a FULL JOIN b USING (k, code) JOIN days USING (k)), turn AS (SELECT date, (sum(abs(w - v)) + abs(sum(v) - sum(w))) / 2 AS turnover FROM chg GROUP BY date)"
 PORT = f"{L03}, {PICK}, {TURN}, gross AS (SELECT date, sum(weight * ret) / 3 AS gross FROM pick GROUP BY date), port AS (SELECT date, gross, turnover, greatest(gross - turnover * 0.002, -0.99) AS net FROM gross JOIN turn USING (date))"
+#: The same portfolio without filters, as one expression of its own.
+PLAIN = "plain AS (WITH pick AS (" + PORT.partition("), pick AS (")[2].replace("FROM alive", "FROM predictions") + " SELECT * FROM port)"
+
 
 
 def metrics_sql(source: str, by: str = "", compounded: bool = False) -> str:
@@ -103,11 +106,13 @@ def holm(t: Tables) -> DataFrame:
     return pf.holm(t.predictions.groupBy(F.col("code").alias("name")).agg(p.alias("p")))
 
 
-@query("b19_monthly_win_rate", f"WITH {PORT}, m AS (SELECT strftime(date, '%Y-%m') AS month, exp(sum(ln(1 + net))) - 1 AS a, exp(sum(ln(1 + gross))) - 1 AS b FROM port GROUP BY ALL) SELECT avg((a > b)::DOUBLE) AS win_rate, count(*) AS months FROM m")
+@query("b19_monthly_win_rate", f"WITH {PORT}, {PLAIN}, c AS (SELECT strftime(date, '%Y-%m') AS month, sum(ln(1 + net)) AS a FROM port GROUP BY ALL), p AS (SELECT strftime(date, '%Y-%m') AS month, sum(ln(1 + net)) AS b FROM plain GROUP BY ALL) SELECT avg((round(a, 9) > round(b, 9))::DOUBLE) AS win_rate, count(*) AS months FROM c JOIN p USING (month)")
 def monthly_win_rate(t: Tables) -> DataFrame:
-    p = pf.portfolio(t.predictions, rules=RULES)
-    m = p.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(*((F.exp(F.sum(F.log1p(c))) - 1).alias(n) for n, c in (("a", "net"), ("b", "gross"))))
-    return m.agg(F.avg((F.col("a") > F.col("b")).cast("double")).alias("win_rate"), F.count("*").alias("months"))
+    """In which share of the months the filtered portfolio compounds to more than the same without filters."""
+    month = F.date_format("date", "yyyy-MM").alias("month")
+    total = lambda rules, name: pf.portfolio(t.predictions, rules=rules).groupBy(month).agg(F.round(F.sum(F.log1p("net")), 9).alias(name))
+    both = total(RULES, "a").join(total((), "b"), "month")
+    return both.agg(F.avg((F.col("a") > F.col("b")).cast("double")).alias("win_rate"), F.count("*").alias("months"))
 
 
 @query("b25_regime_weights", f"WITH {RUN}, reg AS (SELECT date, CASE WHEN avg(ret) > 0 THEN 'up' ELSE 'down' END AS regime FROM predictions GROUP BY date), m AS (SELECT regime, param_id, count(*) AS n, avg(net) / nullif(stddev_samp(net), 0) AS sharpe FROM grid JOIN reg USING (date) GROUP BY ALL) SELECT regime, arg_max(param_id, {{'a': sharpe, 'b': -param_id}}) AS param_id FROM m WHERE n >= 20 GROUP BY regime")

@@ -10,7 +10,7 @@ from tessera.functions.rolling import change, roll, wc, wd
 from tessera.operators import factor_stats as fs
 from tessera.operators import portfolio as pf
 from tessera.operators import selection as sel
-from tessera.plans.q_backtest import PORT, RULES
+from tessera.plans.q_backtest import PLAIN, PORT, RULES
 from tessera.plans.q_news import SCORED, _scored
 from tessera.plans.q_series import W, over
 from tessera.plans.q_stats import FACTORS
@@ -115,11 +115,16 @@ def bootstrap(t: Tables) -> DataFrame:
     return sel.block_bootstrap(d, "d", 400, 20, 7).agg(F.avg((F.col("mean") <= 0).cast("double")).alias("p_value"), F.count("*").alias("draws"))
 
 
-@query("b17_promotion", f"WITH {PORT}, y AS (SELECT strftime(date, '%Y') AS year, avg(net) / nullif(stddev_samp(net), 0) AS a, avg(gross) / nullif(stddev_samp(gross), 0) AS b FROM port GROUP BY ALL) SELECT avg(b - a) AS gain, count(*) FILTER (b > a) AS improved, avg(b - a) > 0.1 AND count(*) FILTER (b > a) >= 2 AS promote FROM y")
+_SHARPE = "avg(net) / nullif(stddev_samp(net), 0)"
+
+
+@query("b17_promotion", f"WITH {PORT}, {PLAIN}, c AS (SELECT strftime(date, '%Y') AS year, {_SHARPE} AS b FROM port GROUP BY ALL), p AS (SELECT strftime(date, '%Y') AS year, {_SHARPE} AS a FROM plain GROUP BY ALL), y AS (SELECT round(b - a, 9) AS d FROM c JOIN p USING (year)) SELECT avg(d) AS gain, count(*) FILTER (d > 0) AS improved, avg(d) > 0.1 AND count(*) FILTER (d > 0) >= 2 AS promote FROM y")
 def promotion(t: Tables) -> DataFrame:
-    s = lambda c: F.try_divide(F.avg(c), F.nullif(F.stddev_samp(c), F.lit(0.0)))
-    y = pf.portfolio(t.predictions, rules=RULES).groupBy(F.date_format("date", "yyyy").alias("year")).agg(s("net").alias("a"), s("gross").alias("b"))
-    gain, n = F.avg(F.col("b") - F.col("a")), F.count_if(F.col("b") > F.col("a"))
+    """Whether the filtered portfolio gains Sharpe on the same without filters, on average over the years and in two at least."""
+    sharpe = F.try_divide(F.avg("net"), F.nullif(F.stddev_samp("net"), F.lit(0.0)))
+    yearly = lambda rules, name: pf.portfolio(t.predictions, rules=rules).groupBy(F.date_format("date", "yyyy").alias("year")).agg(sharpe.alias(name))
+    y = yearly(RULES, "b").join(yearly((), "a"), "year").select(F.round(F.col("b") - F.col("a"), 9).alias("d"))
+    gain, n = F.avg("d"), F.count_if(F.col("d") > 0)
     return y.agg(gain.alias("gain"), n.alias("improved"), ((gain > 0.1) & (n >= 2)).alias("promote"))
 
 
