@@ -20,27 +20,106 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>if (a < b) "</p>"</
 <div class="share">Share</div><form><input>F</form></article><section id=comments>C</section><footer>&copy;</footer></body></html>"""
 
 
+def kept(page: str) -> list[str]:
+    """What the markup of one page alone leaves."""
+    return [b["text"] for b in sitetree.page_record(page)[1] if b["prior"] > sitetree.ROLE]
+
+
 def test_blocks_of_a_page():
-    blocks, _ = sitetree.parse(PAGE)
-    assert [b[1] for b in blocks if b[3] and not b[2]] == ["A&B é", "One two three", "Four five"]
+    assert kept(PAGE) == ["A&B é", "One two three", "Four five"]
 
 
 def test_hidden_parts_comments_and_broken_quotes():
     page = """<article><p>Kept</p><article class="comment"><p>Reader says</p></article><p hidden>Not seen</p><div style="color:red; display: none">Nor this</div>
 <p>One <a title="x>b</p><p>Two</p></article>"""
-    blocks, _ = sitetree.parse(page)
-    assert [b[1] for b in blocks if b[3] and not b[2]] == ["Kept", "One b", "Two"]
+    assert kept(page) == ["Kept", "One b", "Two"]
     long = "<article>" + "<p>word &amp; word</p>" * 20_000 + "</article>"
-    assert sum(b[1] == "word & word" for b in sitetree.parse(long)[0]) == 20_000
+    assert kept(long) == ["word & word"] * 20_000
+
+
+STORY = "The story goes on for a while, as stories do, and nobody knows where it ends. " * 3
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><div class="content no-sidebar"><p>{}</p></div></body>',
+        '<form id="aspnetForm"><div><p>{}</p></div><input></form>',
+        '<main><article class="post comment-enabled"><p>{}</p></article></main>',
+        '<section class="banner-story"><p>{}</p></section>',
+        '<p class="share-price">{}</p>',
+        '<article><p>Read this too</p></article><div id="story"><p>{}</p></div>',
+        "<article><svg/><p>{}</p></article>",
+        "<article><svg><p>{}</p></article>",
+        '<article><p>{}</p></article><div class="site-footer">Us</div><ul class="comment-list"><li>I say</li></ul>',
+        '<article><p>{}</p></article><div><p>Other things</p></div>',
+        "<main><p>{}</p></main><div><p>" + STORY * 9 + "</p></div>",
+        '<div><p>{}</p></div><form>Name <input><p>Write to us</p></form>',
+        '<ul><li><a href=x>' + STORY + "</a></ul><article><p>{}</p></article>",
+    ],
+)
+def test_ordinary_pages_keep_their_story_and_nothing_else(page):
+    assert kept(page.replace("{}", STORY)) == [STORY.strip()]
+
+
+@pytest.mark.parametrize("page", ["<font>x" * 100_000, "<div>x" * 100_000 + "</b>" * 100_000, "<b><div>x" * 50_000 + "</b>" * 50_000, "<svg>x" * 100_000, "<form><li>x" * 50_000])
+def test_pages_nested_without_end(page):
+    import time
+
+    start = time.process_time()
+    assert "".join(kept(page)).count("x") == page.count("x")
+    assert time.process_time() - start < 20
+
+
+PAGES = "page_id long, url string, html string, content string, uid string"
 
 
 def test_site_tree_cuts_what_all_pages_of_a_host_say(spark):
-    page = "<html><body><div class=box><p>Always the same</p></div><div class=story><p>Story {0}</p><p>More {0}</p></div></body></html>"
-    rows = [(i, f"http://a.com/{i}", page.format(i)) for i in range(30)] + [(90, None, None), (91, "u", ""), (92, "http://b.com", "<p>cut off <b"), (None, "http://c.com/x", "plain")]
-    got = {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    page = "<html><body><div class=box><p>Always the same</p></div><div class=story{1}><p>Story {0}</p><p>More {0}</p></div><p class=share-price>Rate us</p></body></html>"
+    rows = [(i, f"http://a.com/{i}", page.format(i, i), None, "u") for i in range(30)] + [(90, None, None, None, None), (91, "u", "", "", ""), (92, "http://b.com", "<p>cut off <b", "c", "d"), (None, "http://c.com/x", "plain", "c", "d")]
+    rows += [(200 + i, "http://copies.com", page.format(7, 7), "", "") for i in range(40)] + [rows[3], rows[3]]
+    found = sitetree.extract(spark.createDataFrame(rows, PAGES).repartition(5)).collect()
+    got = {r.page_id: r.text for r in found}
+    assert len(found) == len(rows)
     assert all(got[i] == f"Story {i}\nMore {i}" for i in range(30))
+    assert all(r.n_cut == 2 for r in found if r.host == "a.com")
+    # copies of one page are one page, which repeats nothing
+    assert all(got[200 + i] == "Always the same\nStory 7\nMore 7\nRate us" for i in range(40))
     assert (got[90], got[91], got[92], got[None]) == ("", "", "cut off", "plain")
-    assert sitetree.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+    assert sitetree.extract(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_importance_equals_plain_counts(spark):
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(4)
+    parts = ["<ul><li>{}</li></ul>", "<p>{}</p>", "<div class=x{}>a<b>b</b></div>", "<section>{}<h2>t</h2></section>", "<section>{}<h3>t</h3></section>"]
+    rows = [(i, f"http://h{i % 3}/", "".join(rng.choice(parts).format(rng.randint(0, 3)) for _ in range(rng.randint(0, 6)))) for i in range(120)]
+    different = {(u, tuple(f), tuple(s)) for _, u, h in rows for f, s in [sitetree.parse(h)]}
+    texts, shapes, pages = defaultdict(Counter), defaultdict(Counter), Counter()
+    for url, blocks, forms in different:
+        nodes = {b[0] for b in blocks}
+        facts = {(b[0], b[1]) for b in blocks}, {x for x in forms if x[0] in nodes}
+        for n in nodes:
+            pages[url, n] += 1
+        for n, t in facts[0]:
+            texts[url, n][t] += 1
+        for n, s in facts[1]:
+            shapes[url, n][s] += 1
+    want = {}
+    for key, m in pages.items():
+        base = math.log(max(m, 2))
+        content = 1 - sum(math.log(n) for n in texts[key].values()) / len(texts[key]) / base
+        total = sum(shapes[key].values())
+        form = -sum(n / total * math.log(n / total) for n in shapes[key].values()) / base if total else content
+        want[key] = (m, ((0.1 * form + 0.9 * content) * m + 1) / (m + 1))
+    parsed = stash(sitetree.parsed_pages(spark.createDataFrame(rows, "page_id long, url string, html string")), "pages")
+    got = {(f"http://{r.host}/", r.node): (r.pages, r.importance) for r in sitetree.node_importance(parsed).collect()}
+    assert got.keys() == want.keys()
+    for key, (m, x) in want.items():
+        assert got[key][0] == m and got[key][1] == pytest.approx(x, abs=1e-9)
 
 
 def test_real_pages_keep_their_article(spark, sf):
