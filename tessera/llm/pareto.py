@@ -9,10 +9,12 @@ unequal probabilities: a document that fits into the rest at all is included wit
 size, so that the expected words are the rest, and with certainty where that is one or more. Its rank is u / (1 - u) divided by its
 odds lambda / (1 - lambda), u being a uniform number hashed from the row. Documents are taken in the order of their ranks
 as long as they fit; those behind the first that does not fit are tried again for the gap that is left, if they are no
-larger than it, ``ROUNDS`` times in all. Last comes the one document whose size is nearest to the gap, if it lessens it.
+larger than it, until none is. Last comes the one document whose size is nearest to the gap, if it lessens it.
 
 No group is gathered in one task: ranks are cut into 65,536 bins, bins are summed with partial aggregation, and only the
-rows of the bin where a round ends are ordered row by row. A round leaves one number for each source, its last rank.
+rows of the bin where a pass ends are ordered row by row. A pass leaves one rank for each source, its last; each pass reads
+only the rows that the one before left and that still fit. The gap is about halved each time (it is less than the size of a
+document that came at random), so the passes grow with the logarithm of the longest document, not with the rows.
 
 Defined results: a null text has size 0; null ids and sources are allowed (null is a source, the last one); rows that are
 equal in id, source and text share a rank and are taken one by one; a source without words gets target 0; an empty table
@@ -22,15 +24,17 @@ gives an empty result; reruns agree because u depends on the row and the seed al
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, stash
+from .shared import WORD, discard, fits, stash
 
-BINS, ROUNDS = 1 << 16, 4
+BINS = 1 << 16
 #: Source tables up to this many rows are broadcast; larger ones are joined by key.
 BROADCAST_SOURCES = 10_000
+SMALL = 16 << 20
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -52,12 +56,31 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, cap:
     return each.select("source", "source_size", target.alias("target"))
 
 
-def _gap_of(known: DataFrame, rounds: int) -> DataFrame:
-    """``known`` with ``gap`` and ``got`` after so many rounds."""
-    got = F.lit(False)
-    for k in range(rounds):
-        got = got | (~got & (F.col("size") > 0) & (F.col("size") <= F.col(f"gap{k}")) & (F.col(f"all{k}") | (F.struct("place", "u", "nth") <= F.col(f"last{k}"))))
-    return known.withColumn("got", got)
+RANK = ("place", "u", "nth")
+
+
+def _within() -> Column:
+    """Whether a row was taken by the pass that ended at ``last``."""
+    return F.col("size").between(1, F.col("gap")) & (F.col("everything") | (F.struct(*RANK) <= F.col("last")))
+
+
+def _pass(live: DataFrame, gaps: DataFrame, of_source) -> DataFrame:
+    """``gaps`` (source, gap) with ``everything``, ``last`` and ``filled``: how far the rows of ``live`` fit in the order of
+    their ranks. Null for sources without such rows."""
+    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source").orderBy(*RANK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = live.groupBy("source", "bin").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(upto))
+    over = F.col("upto") > F.col("gap")
+    edge = of_source(bins, gaps).groupBy("source").agg(F.min(F.when(over, F.col("bin"))).alias("edge"), F.coalesce(F.sum(F.when(~over, F.col("words"))), F.lit(0)).alias("before"))
+    edge = stash(of_source(gaps, edge), "edges")
+    inside = of_source(live, edge.filter("edge is not null")).filter("bin = edge").withColumn("upto", F.col("before") + F.sum("size").over(within)).filter(F.col("upto") <= F.col("gap"))
+    last = inside.groupBy("source").agg(F.max(F.struct(*RANK)).alias("inner"), F.max("upto").alias("filled"))
+    # where the edge bin has nothing that fits, the pass ends before that bin
+    none = F.struct((F.col("edge") / F.lit(float(BINS))).alias("place"), F.lit(-1.0).alias("u"), F.lit(-1).cast("long").alias("nth"))
+    ends = of_source(edge, last)
+    out = stash(ends.select("source", "gap", (F.col("before").isNotNull() & F.col("edge").isNull()).alias("everything"), F.coalesce("inner", none).alias("last"), F.coalesce("filled", "before", F.lit(0)).alias("filled")), "ends")
+    discard(edge)
+    return out
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] | None = None) -> DataFrame:
@@ -89,28 +112,31 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: floa
     rank = F.when(chance >= 1, 0.0).otherwise(F.try_divide(F.col("u") / (1 - F.col("u")), odds))
     ranked = of_source(rows, plan.select("source", "gap0", "squares")).withColumn("rank", rank).withColumn("place", F.coalesce(F.col("rank") / (1 + F.col("rank")), F.lit(1.0)))
     ranked = stash(ranked.select("row", "source", "size", "u", "nth", "place", F.floor(F.col("place") * BINS).cast("int").alias("bin")), "ranked")
-
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = Window.partitionBy("source").orderBy("place", "u", "nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for k in range(ROUNDS):
-        gap = f"gap{k}"
-        live = _gap_of(of_source(ranked.drop("row"), plan), k).filter(~F.col("got") & (F.col("size") > 0) & (F.col("size") <= F.col(gap))).select("source", "size", "u", "nth", "place", "bin", gap)
-        bins = live.groupBy("source", "bin", gap).agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(upto))
-        edge = bins.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col(gap), F.col("bin"))).alias("edge"), F.sum("words").alias("words"))
-        before = of_source(bins, edge.select("source", "edge")).filter("edge is not null and bin < edge").groupBy("source").agg(F.sum("words").alias("before"))
-        edge = stash(of_source(edge, before).select("source", "edge", "words", F.coalesce("before", F.lit(0)).alias("before")), "edges")
-        inside = of_source(live, edge).filter("bin = edge").withColumn("upto", F.col("before") + F.sum("size").over(within)).filter(F.col("upto") <= F.col(gap))
-        last = inside.groupBy("source").agg(F.max(F.struct("place", "u", "nth")).alias("inner"), F.max("upto").alias("filled"))
-        # where the edge bin has nothing that fits, the round ends before that bin
-        ends = of_source(of_source(plan, edge), last)
-        none = F.struct((F.col("edge") / F.lit(float(BINS))).alias("place"), F.lit(-1.0).alias("u"), F.lit(-1).cast("long").alias("nth"))
-        taken = F.when(F.col("edge").isNull(), F.coalesce("words", F.lit(0))).otherwise(F.coalesce("filled", "before"))
-        ends = ends.withColumns({f"all{k}": F.col("edge").isNull(), f"last{k}": F.coalesce("inner", none), f"gap{k + 1}": F.col(gap) - taken}).drop("edge", "words", "before", "inner", "filled")
-        plan = stash(ends, "plan")
-
-    final = f"gap{ROUNDS}"
-    drawn = _gap_of(of_source(ranked, plan), ROUNDS)
-    near = drawn.filter(~F.col("got") & (F.col("size") > 0) & (F.abs(F.col("size") - F.col(final)) < F.col(final))).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col(final)), F.col("u"), F.col("nth"))).alias("pick"))
-    out = of_source(drawn, near.select("source", F.col("pick.nth").alias("closing")))
+    discard(rows)
+
+    left = lambda ends: ends.select("source", (F.col("gap") - F.col("filled")).alias("gap"))
+    fitting = F.col("size").between(1, F.col("gap"))
+    narrow = ["source", "size", *RANK, "bin"]
+    first = _pass(of_source(ranked, plan.select("source", F.col("gap0").alias("gap"))).filter(fitting).select(narrow), plan.select("source", F.col("gap0").alias("gap")), of_source)
+    untaken = of_source(ranked, first).filter(~F.coalesce(_within(), F.lit(False))).select(narrow)
+    live = stash(of_source(untaken, left(first)).filter(fitting).select(narrow), "live")
+    ends, picks = first, []
+    while not live.isEmpty():
+        ends = _pass(live, left(ends), of_source)
+        tried = of_source(live, ends).withColumn("hit", _within()).filter(F.col("hit") | F.col("size").between(1, F.col("gap") - F.col("filled")))
+        tried = stash(tried.select(*narrow, "hit"), "tried")
+        discard(live)
+        picks.append(tried.filter("hit").select("nth"))
+        live = stash(tried.filter("not hit").select(narrow), "live")
+
+    drawn = of_source(ranked, first).withColumn("got", F.coalesce(_within(), F.lit(False))).drop("gap", "filled", "last", "everything")
+    if picks:
+        # a pass after the first takes no more words than the document at which the first one ended has
+        later = stash(reduce(DataFrame.union, picks), "picks").withColumn("picked", F.lit(True))
+        drawn = drawn.join(F.broadcast(later) if fits(later, SMALL) else later, "nth", "left").withColumn("got", F.col("got") | F.col("picked").isNotNull()).drop("picked")
+    drawn = of_source(drawn, left(ends))
+    off = F.abs(F.col("size") - F.col("gap"))
+    near = drawn.filter(~F.col("got") & (F.col("size") > 0) & (off < F.col("gap"))).groupBy("source").agg(F.min(F.struct(off, F.col("u"), F.col("nth"))).alias("pick"))
+    out = of_source(of_source(drawn, plan.select("source", "source_size", "target", "whole")), near.select("source", F.col("pick.nth").alias("closing")))
     copies = F.col("whole") + (F.col("got") | F.coalesce(F.col("nth") == F.col("closing"), F.lit(False))).cast("long")
     return out.select("row.*", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -13,7 +13,7 @@ from .compactwindows import passages
 from .hardnegatives import hard_negatives
 from .licence_texts import DIGESTS, NOTICES, TEXTS
 from .multisethash import edited_copies
-from .pareto import ROUNDS, mix_sources
+from .pareto import mix_sources
 from .prefixtrie import packed_turns, prefix_trie, with_openings
 from .shared import WORD
 from .sitetree import extract
@@ -142,16 +142,9 @@ SELECT w.doc_id, sha256(whole) AS canonical_sha256, CAST(length(whole) AS BIGINT
 FROM w LEFT JOIN known ON sha256(whole) = known.digest LEFT JOIN named ON named.doc_id IS NOT DISTINCT FROM w.doc_id AND named.lines = w.lines
 """
 
-#: A round takes what fits in the order of the ranks, of those that are no larger than the gap.
-_OP8_ROUNDS = "\n".join(
-    f"""h{k} AS (SELECT *, NOT got AND size > 0 AND size <= gap AS live FROM g{k - 1}),
-i{k} AS (SELECT *, live AND sum(CASE WHEN live THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY place, u, nth ROWS UNBOUNDED PRECEDING) <= gap AS hit FROM h{k}),
-g{k} AS (SELECT * EXCLUDE (live, hit) REPLACE (got OR hit AS got, gap - coalesce(sum(size) FILTER (hit) OVER (PARTITION BY source), 0) AS gap) FROM i{k}),"""
-    for k in range(1, ROUNDS + 1)
-)
-
+#: A pass takes what fits in the order of the ranks, of those that are no larger than the gap; z has the rows of each pass.
 OP8_SQL = f"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
          (CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), 'null'), coalesce(source, 'null'), md5(coalesce(text, ''))) || '#8'), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
   FROM documents),
@@ -169,11 +162,18 @@ q AS (SELECT d.source, sum(d.size::HUGEINT * d.size)::DOUBLE AS squares FROM d J
 m AS (SELECT d.*, r.source_size, r.target, r.whole, r.rest, least(coalesce(r.rest * d.size / q.squares, 0.0::DOUBLE), 1.0::DOUBLE) AS chance
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 k AS (SELECT *, CASE WHEN chance >= 1 THEN 0.0::DOUBLE WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS rank FROM m),
-g0 AS (SELECT * EXCLUDE (rank), coalesce(rank / (1 + rank), 1.0::DOUBLE) AS place, row_number() OVER () AS nth, rest AS gap, FALSE AS got FROM k),
-{_OP8_ROUNDS}
-n AS (SELECT source, arg_min(nth, {{'a': abs(size - gap), 'b': u, 'c': nth}}) AS pick FROM g{ROUNDS} WHERE NOT got AND size > 0 AND abs(size - gap) < gap GROUP BY source)
+g AS MATERIALIZED (SELECT * EXCLUDE (rank), coalesce(rank / (1 + rank), 1.0::DOUBLE) AS place, row_number() OVER () AS nth FROM k),
+z AS (
+  SELECT source, size, u, nth, place, rest AS gap, sum(size) OVER (PARTITION BY source ORDER BY place, u, nth ROWS UNBOUNDED PRECEDING) <= rest AS hit
+  FROM g WHERE size > 0 AND size <= rest
+  UNION ALL
+  SELECT source, size, u, nth, place, narrower, sum(size) OVER (PARTITION BY source ORDER BY place, u, nth ROWS UNBOUNDED PRECEDING) <= narrower
+  FROM (SELECT *, gap - coalesce(sum(size) FILTER (hit) OVER (PARTITION BY source), 0) AS narrower FROM z) WHERE NOT hit AND size <= narrower),
+e AS (SELECT g.*, z.nth IS NOT NULL AS got FROM g LEFT JOIN z ON g.nth = z.nth AND z.hit),
+v AS (SELECT *, rest - coalesce(sum(size) FILTER (got) OVER (PARTITION BY source), 0) AS gap FROM e),
+n AS (SELECT source, arg_min(nth, {{'a': abs(size - gap), 'b': u, 'c': nth}}) AS pick FROM v WHERE NOT got AND size > 0 AND abs(size - gap) < gap GROUP BY source)
 SELECT doc_id, size, source_size, target, (whole + CASE WHEN got OR coalesce(nth = pick, FALSE) THEN 1 ELSE 0 END) * size AS taken
-FROM g{ROUNDS} AS g LEFT JOIN n ON g.source IS NOT DISTINCT FROM n.source
+FROM v LEFT JOIN n ON v.source IS NOT DISTINCT FROM n.source
 """
 
 #: A step of the checksum takes a byte (below 256) or shifts one bit out (256).
