@@ -251,7 +251,8 @@ def with_state(quotes: DataFrame) -> DataFrame:
     past, sofar = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     v = F.try_divide("amount", F.nullif("volume", F.lit(0.0)))
-    sane = ~F.coalesce(F.col("last") > 0, F.lit(False)) | (v / F.col("last")).between(0.5, 2.0)
+    # both sides of the "or" may be computed for every row, so a price of zero must not fail the division
+    sane = ~F.coalesce(F.col("last") > 0, F.lit(False)) | F.try_divide(v, "last").between(0.5, 2.0)
     q = quotes.filter("ts is not null").withColumns(
         {
             "prev": F.lag("last").over(w),

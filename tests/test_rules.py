@@ -52,6 +52,13 @@ def test_reference_rules_by_hand(spark):
     assert fired(spark, vwap, [ru.VwapDeviation()]) == [(1, "vwap_rich"), (2, "vwap_cheap"), (40, "vwap_rich")]
 
 
+def test_a_price_of_zero_fails_no_division(spark):
+    rows = [quote(0, 10.0, amount=1000.0, volume=100.0), quote(1, 0.0, amount=1000.0, volume=100.0), quote(2, 10.2, amount=1000.0, volume=100.0)]
+    assert fired(spark, rows, [ru.VwapDeviation()]) == [(1, "vwap_cheap"), (2, "vwap_rich")]
+    found = {k for _, k in fired(spark, rows, ru.standard_rules())}
+    assert {"vwap_cheap", "vwap_rich", "limit_down"} <= found
+
+
 def test_reference_holds_nothing_of_its_own_session(spark, sf):
     """Dropping the later ticks of a table changes no earlier signal."""
     t = Tables(spark, sf)
