@@ -96,7 +96,8 @@ def forward_groups(df: DataFrame, base: Sequence[str], groups: Mapping[str, Sequ
     the confirmation period (``group``: their names). A step's winner passes the selection limits with the best IC gain plus
     a hundredth of the Sharpe gain (ties by name); without one the selection ends, and nothing is confirmed without any.
 
-    Without training rows nothing passes. Groups are few, and each step is one job over the test rows."""
+    Without training rows nothing passes. Groups are few, and each step is one job over the test rows; what ``df`` is made
+    from is read once."""
     names = [*base, *(f for fs in groups.values() for f in fs)]
     at = {f: i for i, f in enumerate(names)}
 
@@ -104,6 +105,8 @@ def forward_groups(df: DataFrame, base: Sequence[str], groups: Mapping[str, Sequ
         gram, mean, _ = sums
         return features, *sub_solve(gram, mean, [at[f] for f in features], alpha)
 
+    # every job below reads these rows, which may stand at the end of a long plan: it runs once
+    df = df.select("date", "code", *dict.fromkeys([*names, label])).persist()
     out: list[tuple] = []
     sums = products(df, names, label, selection.train_end, horizon)
     test = df.filter(_between(selection.start, selection.end))
@@ -133,4 +136,5 @@ def forward_groups(df: DataFrame, base: Sequence[str], groups: Mapping[str, Sequ
         result = _compare(found.get("all"), found.get("base"), monthly_win_rate(days, "all", days, "base"))
     ok = passes(result, 0.10, 0.55, 0.02)
     out.append(("confirmation", 0, ",".join(chosen), *result.values(), ok, ok))
+    df.unpersist()
     return df.sparkSession.createDataFrame(out, STEP)

@@ -77,6 +77,18 @@ def test_steps_equal_refits(spark, rows):
     assert np.allclose([last.rank_ic_gain, last.sharpe_gain, last.drawdown_change, last.monthly_win_rate], [c[0] - b[0], c[1] - b[1], c[2] - b[2], (c[3] > b[3]).mean()], atol=1e-8)
 
 
+def test_the_rows_are_made_once(spark, rows):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(it):
+        for f in it:
+            made.add(len(f))
+            yield f
+
+    ab.forward_groups(spark.createDataFrame(rows, ROW).mapInPandas(counted, ROW), ["a"], GROUPS, "y", 2, SEL, CON)
+    assert made.value == len(rows)
+
+
 def test_what_fades_is_not_confirmed(spark, rows):
     strong = [(*r[:6], None if r[6] is None else r[6] + (0.01 * r[5] if r[0] < dt.date(2021, 7, 20) else 0.0)) for r in rows]
     got = ab.forward_groups(spark.createDataFrame(strong, ROW), ["a"], {"late": ["late"]}, "y", 2, SEL, CON).collect()
