@@ -38,7 +38,7 @@ from .shared import discard, hot_join, row_blocks, row_key, stash, text_bytes, t
 ANCHOR = 64
 STEP = 8
 FREE = 34
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Symbols that a task merges at once; a bucket is whole in one merge.
 CHUNK = 1 << 18
 MOST_FORMS = 2000

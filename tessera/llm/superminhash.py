@@ -34,7 +34,7 @@ from .shared import discard, row_blocks, row_key, stash, text_bytes, trimmed
 
 BANDS, ROWS = 21, 3
 SLOTS = BANDS * ROWS
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def superminhash(h: np.ndarray, off: np.ndarray, m: int = SLOTS) -> np.ndarray:

@@ -36,7 +36,7 @@ from .shared import discard, fits, row_blocks, stash, text_bytes, trimmed
 LEAST, THRESHOLD = 3, 0.8
 FILTER_SEEDS = 1 << 21
 SMALL = 16 << 20
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Meetings of equal runs that are held at once; they are joined to common runs before the next ones are made.
 MEETINGS = 1 << 20
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import licences, ordinal, pareto, queries, sitetree, tiling
@@ -397,3 +399,13 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_arrow_batches_are_small_whatever_the_texts(spark):
+    def sizes(it):
+        for b in it:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["bytes", "rows"])
+
+    texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("0123456789"), 800).alias("text"))
+    got = stash(texts.mapInArrow(sizes, "bytes long, rows long"), "sizes").agg(F.max("bytes"), F.sum("rows")).first()
+    assert got[0] < 12 << 20 and got[1] == 4000
