@@ -179,6 +179,30 @@ def test_recall_of_edited_passages_around_hot_phrases(spark):
     assert all(r.doc_id // 2 == r.rep_doc_id // 2 for r in found)
 
 
+def test_every_pair_at_the_threshold_is_found(spark, monkeypatch):
+    """Passages of 50 words with one changed word (41 of 51 tokens in common), some with a phrase in them twice, or moved by
+    an added word; tokens are counted by many tasks."""
+    monkeypatch.setattr(compactwindows, "COUNTED", 1 << 12)
+    rng = random.Random(17)
+    rows, wanted = [], set()
+    for k in range(160):
+        passage = sentence(rng, 50)
+        if k % 4 == 1:
+            passage[30:38] = passage[2:10]
+        other, at = passage.copy(), rng.randrange(4, 46)
+        if k % 4 == 2:
+            other.insert(at, "added")
+        else:
+            other[at] = "changed"
+        a, b = tokens_of(" ".join(passage)), tokens_of(" ".join(other))
+        if any(jaccard(a, b[j : j + 46]) >= 0.8 for j in range(len(b) - 45)):
+            wanted |= {2 * k, 2 * k + 1}
+        rows += [(2 * k + j, " ".join(sentence(rng, 30) + x + sentence(rng, 30))) for j, x in enumerate((passage, other))]
+    found = compactwindows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(wanted) > 200 and wanted <= {r.doc_id for r in found}
+    assert all(r.doc_id // 2 == r.rep_doc_id // 2 for r in found)
+
+
 def tokens_of(text):
     w = text.split()
     return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
