@@ -30,7 +30,7 @@ import sys
 import uuid
 from array import array
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,9 @@ def _splits_at_spaces(path: str) -> bool:
 #: space with letters behind it is one word to it.
 _WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
+#: A line's end between characters that aren't white space is a word of its own to it.
+_LINE = re.compile(r"(?<=\S)\n(?=\S)")
+
 
 def _byte_names() -> dict[int, str]:
     """How byte-level tokenizers write bytes: printable Latin-1 as itself, the others from U+0100 on."""
@@ -82,6 +85,20 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """The ids of pieces as bytes, learned when first asked for. Long pieces, and those there is no room for, are kept in
+    ``extra``."""
+
+    def __init__(self, learn, room: int) -> None:
+        self.learn, self.room, self.extra = learn, room, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.extra.get(piece)) is None:
+            ids = self.learn(piece)
+            (self if len(piece) <= 64 and len(self) < self.room else self.extra)[piece] = ids
+        return ids
+
+
 class Encoder:
     """The ids of whole texts as bytes, each followed by ``end_id``.
 
@@ -96,9 +113,9 @@ class Encoder:
 
         self.library, self.pieces = Tokenizer.from_file(path), _splits_at_spaces(path)
         self.kind = np.dtype("<u2" if max(self.library.get_vocab_size(), end_id + 1) <= 65536 else "<u4")
-        self.end, self.remember = np.array([end_id], self.kind).tobytes(), remember
+        self.end = np.array([end_id], self.kind).tobytes()
         #: by whether a space stands before the piece
-        self.known: dict[bool, dict[str, bytes]] = {False: {}, True: {}}
+        self.known = {spaced: _Known(partial(self._piece, spaced=spaced), remember) for spaced in (False, True)}
         self.model, self.names = self.library.model, _byte_names()
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -113,52 +130,35 @@ class Encoder:
             out += [self._bytes(e.ids) for e in self.library.encode_batch(texts[i : i + 5000], add_special_tokens=False)]
         return out
 
-    def _word(self, letters: str) -> bytes:
-        raw = self.names[32] + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.names))
+    def _word(self, letters: str, space: str = "") -> bytes:
+        raw = space + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.names))
         return self._bytes([t.id for t in self.model.tokenize(raw)])
 
-    def _learn(self, pieces: set[str], spaced: bool) -> list[str]:
-        """Makes the pieces known; returns those that are to be forgotten after use."""
-        known = self.known[spaced]
-        new, other = pieces - known.keys(), []
-        room = self.remember - len(known)
-        if spaced:
-            for x in new:
-                if (m := _WORD.fullmatch(x)) is None:
-                    other.append(x)
-                elif m[2] == "":
-                    known[x] = self._word(x)
-                else:
-                    if (tail := self.known[False].get(m[2])) is None:
-                        (tail,) = self._library([m[2]])
-                        if len(self.known[False]) < self.remember:
-                            self.known[False][m[2]] = tail
-                    known[x] = (known.get(m[1]) or self._word(m[1])) + tail
-        else:
-            other = list(new)
-        known.update(zip(other, self._library([f" {x}" for x in other] if spaced else other), strict=True))
-        if room >= len(new):
-            return [x for x in other if len(x) > 64]
-        return list(new)[max(room, 0) :]
+    def _piece(self, piece: str, spaced: bool = False) -> bytes:
+        space = self.names[32] if spaced else ""
+        if piece.isascii() and piece.isalpha():
+            return self._word(piece, space)
+        if m := _WORD.fullmatch(piece):
+            return (self.known[spaced].get(m[1]) or self._word(m[1], space)) + (self.known[False][m[2]] if m[2] else b"")
+        head, *lines = _LINE.split(piece)
+        if lines:
+            plain = self.known[False]
+            return self.known[spaced][head] + b"".join(plain["\n"] + plain[x] for x in lines)
+        return self._bytes(self.library.encode(f" {piece}" if spaced else piece, add_special_tokens=False).ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.pieces:
             return [x + self.end for x in self._library(texts)]
-        heads, rests = [], []
+        first, then, out = self.known[False], self.known[True].__getitem__, []
         for t in texts:
             if _SPACE_AFTER_SPACE.search(t):
                 head, *rest = _CUT.split(t)
                 rest = [x[1:] for x in rest]
             else:
                 head, *rest = t.split(" ")
-            heads.append(head)
-            rests.append(rest)
-        gone = self._learn(set(heads), False), self._learn(set().union(*rests), True)
-        first, then = self.known[False], self.known[True].__getitem__
-        out = [b"".join((first[h], *map(then, r), self.end)) for h, r in zip(heads, rests, strict=True)]
-        for known, old in zip((self.known[False], self.known[True]), gone, strict=True):
-            for x in old:
-                del known[x]
+            out.append(b"".join((first[head], *map(then, rest), self.end)))
+        for known in self.known.values():
+            known.extra.clear()
         return out
 
 

@@ -118,6 +118,17 @@ def test_pieces_have_the_ids_of_the_whole_text():
     assert got == encoded(texts)
 
 
+def test_lines_are_encoded_word_by_word():
+    """The two words around a line's end are looked up alone; the ids are those of the whole text."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode = tokenindex.Encoder(path, 2)
+    texts = ["some es.\nThon more", "a\nb\nc d", "x\n\ny z", "q \nr", "q\n r", "one's\n's it", "\nstart end\n", "caf\u00e9.\n\u00c9t\u00e9 9\n8", "u\u0085\nv w\n\x1cx", "<s>\n</s> <s>\nok", "\n".join(["line"] * 5000)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encode(texts)] == encoded(texts)
+    assert "Thon" in encode.known[False]
+
+
 def test_other_tokenizers_get_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
