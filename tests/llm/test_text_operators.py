@@ -203,6 +203,32 @@ def test_every_pair_at_the_threshold_is_found(spark, monkeypatch):
     assert all(r.doc_id // 2 == r.rep_doc_id // 2 for r in found)
 
 
+def test_runs_with_repeated_tokens_are_compared_all_at_once(monkeypatch):
+    """Rows that hold tokens twice: all pairs of runs are compared as sets, without one call for each pair."""
+    calls = []
+    one_by_one = compactwindows.similarity
+    monkeypatch.setattr(compactwindows, "similarity", lambda *x: calls.append(1) or one_by_one(*x))
+    rng, least, alike = random.Random(19), 46, 0
+    for k in range(40):
+        a = [rng.randrange(1 << 30) for _ in range(91)]
+        for i in rng.sample(range(91), 12):
+            a[i] = a[rng.randrange(91)]
+        b = a.copy()
+        for i in rng.sample(range(22), 6) + rng.sample(range(22, 68), 1 + k % 7) + rng.sample(range(68, 91), 6):
+            b[i] = rng.randrange(1 << 30)
+        want = [(i, j, jaccard(a[i : i + least], b[j : j + least])) for i in range(46) for j in range(46)]
+        want = [w for w in want if w[2] >= 0.8]
+        calls.clear()
+        one, two = (compactwindows.Side(np.array(x, np.uint64)) for x in (a, b))
+        found = compactwindows.verified(one, two, [(0, 46, 0, 46)], least, 80, 100, False)
+        assert bool(found) == bool(want or jaccard(a, b) >= 0.8) and len(calls) <= 1
+        if want and len(found) == 1 and found[0][4] == max(w[2] for w in want):
+            best = next(w for w in want if w[2] == found[0][4])
+            assert found[0][0] <= best[0] and best[0] + least <= found[0][1] and found[0][2] <= best[1] and best[1] + least <= found[0][3]
+            alike += 1
+    assert alike > 5
+
+
 def tokens_of(text):
     w = text.split()
     return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
