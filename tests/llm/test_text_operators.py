@@ -203,6 +203,36 @@ def test_every_pair_at_the_threshold_is_found(spark, monkeypatch):
     assert all(r.doc_id // 2 == r.rep_doc_id // 2 for r in found)
 
 
+def test_chains_of_alike_passages_are_one_class(spark):
+    """Passages of which each has one more word changed than the one before: only near ones are alike, links lead along the chain."""
+    rng = random.Random(23)
+    rows, wanted = [], []
+    for k in range(24):
+        passage, chain = sentence(rng, 52), []
+        for i, at in enumerate(rng.sample(range(5, 47), 10)):
+            chain.append(passage.copy())
+            rows.append((10 * k + i, " ".join(sentence(rng, 20) + passage + sentence(rng, 20))))
+            passage[at] = "changed" + passage[at]
+        runs = [[set(t[s : s + 46]) for s in range(len(t) - 45)] for t in (tokens_of(" ".join(x)) for x in chain)]
+        wanted += [(10 * k + i, 10 * k + j) for i in range(10) for j in range(i) if any(10 * len(a & b) >= 8 * len(a | b) for a in runs[i] for b in runs[j])]
+    found = compactwindows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of = {}
+    for r in found:
+        of.setdefault(r.doc_id, set()).add(r.rep_doc_id)
+        of.setdefault(r.rep_doc_id, set()).add(r.doc_id)
+    reached = {}
+    for i in of:
+        todo, seen = [i], {i}
+        while todo:
+            todo += (new := of[todo.pop()] - seen)
+            seen |= new
+        reached[i] = seen
+    assert len(wanted) > 100 and not [p for p in wanted if p[0] not in reached or p[1] not in reached[p[0]]]
+    classes = {r.doc_id: r.class_id for r in found}
+    assert all(classes[a] == classes[b] for a, b in wanted)
+    assert all(len({x // 10 for x in s}) == 1 for s in reached.values())
+
+
 def test_runs_with_repeated_tokens_are_compared_all_at_once(monkeypatch):
     """Rows that hold tokens twice: all pairs of runs are compared as sets, without one call for each pair."""
     calls = []
