@@ -233,6 +233,22 @@ def test_chains_of_alike_passages_are_one_class(spark):
     assert all(len({x // 10 for x in s}) == 1 for s in reached.values())
 
 
+def test_verification_takes_turns(spark, monkeypatch):
+    """What a verification moves at once is bounded by the texts, not by the pairs; the rows are the same."""
+    rng = random.Random(29)
+    base = sentence(rng, 200)
+    rows = [(i, " ".join(edited(rng, base, 44) + sentence(rng, 10))) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    written, stash = [], compactwindows.stash
+    monkeypatch.setattr(compactwindows, "stash", lambda df, name: written.append(name) or stash(df, name))
+    spans = lambda: sorted((r.doc_id, r.start_word, r.n_words, r.rep_doc_id, r.rep_start_word, r.similarity, r.class_id) for r in compactwindows.passages(docs).collect())
+    at_once = spans()
+    before = written.count("passages")
+    written.clear()
+    monkeypatch.setattr(compactwindows, "MOVED", 1 << 10)
+    assert at_once == spans() and written.count("passages") > before == 3 and len({r[0] for r in at_once}) > 5
+
+
 def test_runs_with_repeated_tokens_are_compared_all_at_once(monkeypatch):
     """Rows that hold tokens twice: all pairs of runs are compared as sets, without one call for each pair."""
     calls = []
